@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +31,6 @@ def _byte_alphabet() -> dict[int, str]:
 _BYTE_ALPHABET = _byte_alphabet()
 
 
-class BoundedMemo(dict):
-    """``memo[key]`` computes what it lacks; starts afresh when it is full."""
-
-    def __init__(self, compute, entries: int = MEMO_ENTRIES, key_size: int = MEMO_KEY_BYTES):
-        super().__init__()
-        self.compute, self.entries, self.key_size = compute, entries, key_size
-
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= self.key_size:
-            if len(self) >= self.entries:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class ChunkEncoder:
     """Ids of a ``tokenizers`` JSON vocabulary whose pre-tokenizer drops white space.
 
@@ -60,7 +46,7 @@ class ChunkEncoder:
     TAIL = b".,;:!?"
     PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, name: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, name: str, entries: int = 2 * MEMO_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -76,11 +62,12 @@ class ChunkEncoder:
         alphabet; all else takes the library's whole way."""
         out: list = [None] * len(chunks)
         tokenize, plain, rest = self.library.model.tokenize, self.PLAIN.fullmatch, []
+        code = "HI"[self.dtype.itemsize // 4]
         for i, c in enumerate(chunks):
             word = c.decode("utf-8").lower()
             if plain(word):
                 word = word if len(word) == len(c) else word.encode().decode("latin-1").translate(_BYTE_ALPHABET)
-                out[i] = np.array([t.id for t in tokenize(word)], self.dtype).tobytes()
+                out[i] = array(code, [t.id for t in tokenize(word)]).tobytes()
             else:
                 rest.append(i)
         found = self.library.encode_batch_fast([chunks[i].decode("utf-8") for i in rest], add_special_tokens=False)
@@ -98,14 +85,13 @@ class ChunkEncoder:
         cores = [k if k[-1:].isalnum() else c for k, c in zip(cores, chunks, strict=True)]
         tails = [c[len(k) :] for k, c in zip(cores, chunks, strict=True)]
         new = [k for k in dict.fromkeys(chain(cores, set(tails))) if k not in memo]
-        if not new:
-            return [memo[k] + memo[t] for k, t in zip(cores, tails, strict=True)]
-        learned = dict(zip(new, self._learn(new), strict=True))
-        whole = memo | learned if len(memo) < len(learned) else memo
-        if whole is memo:
+        if new:
+            learned = dict(zip(new, self._learn(new), strict=True))
             memo.update(learned)
-        out = [whole[k] + whole[t] for k, t in zip(cores, tails, strict=True)]
-        self.memo = {k: v for k, v in whole.items() if len(k) <= MEMO_KEY_BYTES} if any(len(k) > MEMO_KEY_BYTES for k in new) else whole
+        out = list(map(add, map(memo.__getitem__, cores), map(memo.__getitem__, tails)))
+        for k in new:
+            if len(k) > MEMO_KEY_BYTES:
+                del memo[k]
         return out
 
     def encode_column(self, column: pa.Array, step: int = 4096):
@@ -121,15 +107,16 @@ class ChunkEncoder:
             pool = np.frombuffer(b"".join(ids), self.dtype)
             starts = np.cumsum(sizes) - sizes
             codes = coded.indices.to_numpy()
-            bounds = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+            n = sizes[codes]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            flat = pool[np.repeat((starts[codes] - ends + n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
+            bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()].tolist()
             for i, whole in enumerate(odd.to_pylist()):
                 if whole:
                     yield np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
-                    continue
-                c = codes[bounds[i] : bounds[i + 1]]
-                n = sizes[c]
-                ends = np.cumsum(n)
-                yield pool[np.repeat(starts[c] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+                else:
+                    yield flat[bounds[i] : bounds[i + 1]]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
