@@ -105,6 +105,30 @@ def grouped_batches(batches, n_keys: int):
         yield held
 
 
+class Forest:
+    """Components of rows 0..n-1 as pairs arrive in arrays; labels are least rows."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.label
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label[:] = label[label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """A star around the least row of each component."""
+        rows = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return rows, self.label[rows]
+
+
 def block_tasks(df: DataFrame, size: str, block: int, row_id: str, keys: list[str]) -> DataFrame:
     """Spread each group of ``size`` rows over tasks of at most about two blocks.
 
