@@ -48,10 +48,11 @@ def _secret_of(match: Column) -> Column:
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, owner, and ``spans``: all base spans and candidate tokens of each
+    """doc_id, a hash of the text, owner, and ``spans``: all base spans and candidate tokens of each
     whole text. Each pattern is run only over texts that hold its marks."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    read = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), text.alias("_t"))
+    key = F.xxhash64(F.col("text").cast("string")).alias("th")
+    read = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), key, text.alias("_t"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     assign = F.when(
         F.col("_t").rlike(_LEAD),
@@ -61,7 +62,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     hexes = F.when(F.col("_t").rlike(BASE[2][1]), _spans(F.col("_t"), BASE[2][1], "hex", lambda m: F.length(m) >= 16)).otherwise(none)
     mixed = lambda m: m.rlike("[A-Z]") & m.rlike("[a-z]") & m.rlike("[0-9]")
     tokens = F.when(F.col("_t").rlike(TOKEN), _spans(F.col("_t"), TOKEN, "owned", mixed)).otherwise(none)
-    return read.select("doc_id", "owner", F.concat(assign, access, hexes, tokens).alias("spans"))
+    return read.select("doc_id", "th", "owner", F.concat(assign, access, hexes, tokens).alias("spans"))
 
 
 def _spell(spans: Column) -> Column:
@@ -73,7 +74,7 @@ def _spell(spans: Column) -> Column:
 def scan_secrets(spark: SparkSession, docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Spans of secrets in each whole text of ``docs`` (doc_id, text, source).
 
-    Returns doc_id, owner, ``spans`` (array of start, kind, end, live; sorted by
+    Returns doc_id, th (hash of the text), owner, ``spans`` (array of start, kind, end, live; sorted by
     start, then kind), n_live and n_example. Base kinds are always spans: assign,
     access and hex. Every base value and every long token of mixed letters and
     digits is a candidate; its hash is counted over the corpus by distinct
@@ -92,8 +93,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, max_owners: int = MAX_OWN
     in the written table), further columns are ignored, and no rows give none.
     """
     scratch = Scratch(spark, "secrets")
-    found = scratch.table(find_candidates(docs), "candidates").withColumn("row", F.monotonically_increasing_id())
-    found = scratch.table(found, "rows")
+    found = scratch.table(find_candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
     value = F.when(F.col("s.kind") == 0, _secret_of(F.col("s.value"))).otherwise(F.col("s.value"))
     each = found.select("row", "owner", F.explode("spans").alias("s")).select("row", "owner", F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.sha2(value, 256).alias("hash"))
     by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("copies"))
@@ -106,9 +106,10 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, max_owners: int = MAX_OWN
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     chosen = F.filter("all", lambda s: (s["kind"] < 3) | (s["live"] & apart(s)))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
-    out = found.select("row", "doc_id", "owner").join(spans, "row", "left")
+    out = found.select("row", "doc_id", "th", "owner").join(spans, "row", "left")
     return out.select(
         "doc_id",
+        "th",
         "owner",
         F.coalesce(chosen, empty).alias("spans"),
         F.coalesce(F.size(F.filter("all", lambda s: s["live"])), F.lit(0)).cast("long").alias("n_live"),
@@ -132,6 +133,31 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of ``scan_secrets`` written over by ``mark``.
+
+    Spans that overlap become one mark. Texts are joined with spans of their
+    doc_id and text; ``n_chars``, where there is such a column, is counted anew.
+    Texts without a span, null and empty ones stay as they are.
+    """
+    found = scan_secrets(spark, docs).where(F.size("spans") > 0)
+    spans = found.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.first("spans").alias("_spans"))
+    keyed = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_doc"]) & (keyed["_own"] == spans["_th"]), "left")
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s, x):
+        before = F.when(x["start"] >= s["at"], F.concat(F.substr(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], before).alias("out"))
+
+    clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     return digest(scan_secrets(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")))
