@@ -300,7 +300,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, spec: NearDup = NearDu
     sized = scratch.table(groups.join(classes.select(F.col("doc").alias("node"), "n_shingles", "set_hash"), "node"), "groups")
     mass = sized.groupBy("component").agg(F.sum("n_shingles").alias("mass"))
     wanted = sized.join(mass, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "set_hash", "mass")
-    sets = texts.join(wanted, "doc_id").select("doc_id", "text", "g", "set_hash", "mass").mapInArrow(_set_reader(spec), "g long, mass long, doc long, shingles binary")
+    # A merge join at every size, so that figures at one size tell of others.
+    sets = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "g", "set_hash", "mass").mapInArrow(_set_reader(spec), "g long, mass long, doc long, shingles binary")
     tasks = block_tasks(sets, "mass", GROUP_SHINGLES, "doc", ["g"])
     links = scratch.table(tasks.select("g", "bi", "bj", "doc", "shingles").mapInArrow(_verifier(spec), "a long, b long"), "links")
     # Rows of a class point to its representative; those edges are links too.
