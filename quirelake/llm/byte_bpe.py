@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_object
 from .encoders import MEMO_ENTRIES, MEMO_KEY_BYTES
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -123,14 +123,9 @@ class ByteEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_ENCODERS: dict[str, ByteEncoder] = {}
-
-
 def byte_encoder(name: str = RANKS) -> ByteEncoder:
-    """The worker's encoder for a rank file; made once per Python process."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = ByteEncoder(name)
-    return _ENCODERS[name]
+    """The worker's encoder for a rank file."""
+    return worker_object("bytes", name, lambda: ByteEncoder(name))
 
 
 def encode_documents(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True) -> DataFrame:

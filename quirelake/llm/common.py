@@ -162,6 +162,21 @@ def bounded_broadcast(spark: SparkSession, df: DataFrame, rows: int, limit: int
     return F.broadcast(df) if rows <= limit else df
 
 
+_LIVE: dict[tuple, object] = {}
+
+
+def worker_object(kind: str, key, make):
+    """An encoder or memo that a Python worker keeps between tasks.
+
+    Workers outlive stages, so only the one in use is kept: asking for another
+    drops it, and idle workers don't add up the memos of every operator.
+    """
+    if (kind, key) not in _LIVE:
+        _LIVE.clear()
+        _LIVE[kind, key] = make()
+    return _LIVE[kind, key]
+
+
 def tokenizer_path(name: str) -> str:
     """Path of a public vocabulary file, found on the machine that runs the task."""
     if os.path.isabs(name):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_object
 
 #: Entries a worker's memo holds before it starts afresh; bounds its memory only.
 MEMO_ENTRIES = 400_000
@@ -46,7 +46,7 @@ class ChunkEncoder:
     TAIL = b".,;:!?"
     PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, name: str, entries: int = 2 * MEMO_ENTRIES):
+    def __init__(self, name: str, entries: int = MEMO_ENTRIES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -119,11 +119,6 @@ class ChunkEncoder:
                     yield flat[bounds[i] : bounds[i + 1]]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def chunk_encoder(name: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary; made once per Python process."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = ChunkEncoder(name)
-    return _ENCODERS[name]
+def chunk_encoder(name: str, entries: int = MEMO_ENTRIES) -> ChunkEncoder:
+    """The worker's encoder for a vocabulary."""
+    return worker_object("chunks", (name, entries), lambda: ChunkEncoder(name, entries))

@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_rows, block_tasks, grouped_batches, runs
+from .common import Scratch, binary_rows, block_tasks, grouped_batches, runs, worker_object
 from .components import connected_components
 
 #: Distinct words a worker remembers the hash of; bounds its memory only.
-WORD_MEMO = 500_000
+WORD_MEMO = 250_000
 #: Rows of a bucket, and shingles of a group, that one block of a task holds.
 BUCKET_BLOCK = 4096
-GROUP_SHINGLES = 2_000_000
+GROUP_SHINGLES = 500_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -90,14 +90,9 @@ class Shingler:
         return np.unique(out)
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(size: int) -> Shingler:
-    """The worker's shingler; made once per Python process."""
-    if size not in _SHINGLERS:
-        _SHINGLERS[size] = Shingler(size)
-    return _SHINGLERS[size]
+    """The worker's shingler."""
+    return worker_object("shingles", size, lambda: Shingler(size))
 
 
 def signature(shingles: np.ndarray, seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -211,11 +206,12 @@ def _verifier(spec: NearDup):
     def verify(batches):
         for batch in grouped_batches(batches, 3):
             docs = batch.column(3).to_numpy()
-            blobs = batch.column(4).to_pylist()
             bounds = runs(*(batch.column(i).to_numpy() for i in range(3)))
             out = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                sets = [np.frombuffer(x, np.uint64) for x in blobs[a:b]]
+                if b - a < 2:
+                    continue
+                sets = [np.frombuffer(x, np.uint64) for x in batch.column(4).slice(a, b - a).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 every, codes = np.unique(np.concatenate(sets), return_inverse=True)
                 starts = np.cumsum(sizes) - sizes

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import tokenizer_path, worker_object
 from .encoders import MEMO_ENTRIES, MEMO_KEY_BYTES
 
 MODEL = "piece_bpe_32k.model"
@@ -146,14 +146,9 @@ class PrefixCounter:
         return int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])
 
 
-_COUNTERS: dict[str, PrefixCounter] = {}
-
-
 def prefix_counter(name: str = MODEL) -> PrefixCounter:
-    """The worker's counter for a model; made once per Python process."""
-    if name not in _COUNTERS:
-        _COUNTERS[name] = PrefixCounter(name)
-    return _COUNTERS[name]
+    """The worker's counter for a model."""
+    return worker_object("prefixes", name, lambda: PrefixCounter(name))
 
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT, model: str = MODEL) -> DataFrame:

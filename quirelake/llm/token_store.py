@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch
-from .encoders import chunk_encoder
+from .encoders import MEMO_ENTRIES, chunk_encoder
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -166,7 +166,7 @@ def _shard_writer(vocabulary: str, end_id: int, shard_ids: int):
     def write(batches):
         from pyspark import TaskContext
 
-        encoder, part = chunk_encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = chunk_encoder(vocabulary, 2 * MEMO_ENTRIES), TaskContext.get().partitionId()
         docs, held, size, seq, base = [], [], 0, 0, 0
 
         def shard():
