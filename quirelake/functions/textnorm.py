@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BLANKS = r"[ \t\n\r\f\x0B]+"
 
@@ -109,7 +110,7 @@ def normalize_latex_text(text: str) -> str:
         text = now
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_latex(x: pd.Series) -> pd.Series:
     """``normalize_latex_text`` over a column; it runs to a fixed point, which no built-in does."""
     return x.map(lambda t: None if t is None else normalize_latex_text(t))

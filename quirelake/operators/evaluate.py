@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def edit_distances(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -44,7 +45,7 @@ def token_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def token_distances(a: pd.Series, b: pd.Series) -> pd.Series:
     """``token_distance`` over two array columns; null is empty."""
     none = np.zeros(0, np.int64)
@@ -71,6 +72,8 @@ _BOX = ["x1", "y1", "x2", "y2"]
 
 
 def _greedy(left: pd.DataFrame, right: pd.DataFrame, scores, accept) -> pd.DataFrame:
+    if not len(left) or not len(right):
+        return pd.DataFrame({"page_id": [], "left_id": [], "right_id": [], "score": []})
     left, right = left.sort_values("det_id"), right.sort_values("det_id")
     out, free = [], np.ones(len(right), bool)
     theirs = right[_BOX].to_numpy(float)
@@ -85,6 +88,13 @@ def _greedy(left: pd.DataFrame, right: pd.DataFrame, scores, accept) -> pd.DataF
     return pd.DataFrame(out, columns=["page_id", "left_id", "right_id", "score"])
 
 
+def _by_page(left: DataFrame, right: DataFrame):
+    """Both sides' boxes of a page together. Columns are named anew, as a cogroup
+    of two frames of one source loses columns that they share."""
+    a, b = (df.select(*[F.col(c).alias(c) for c in ("page_id", "det_id", "cls", *_BOX)]) for df in (left, right))
+    return a.groupBy("page_id").cogroup(b.groupBy("page_id"))
+
+
 def match_by_overlap(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one matches of a page's boxes: each left box in turn takes the best
     free right box, if their IoU is above ``least``."""
@@ -92,7 +102,7 @@ def match_by_overlap(left: DataFrame, right: DataFrame, least: float = 0.5) -> D
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _greedy(a, b, lambda row, box, right, theirs: _ratio(box, theirs), lambda s: s > least)
 
-    return left.groupBy("page_id").cogroup(right.groupBy("page_id")).applyInPandas(match, _MATCHES)
+    return _by_page(left, right).applyInPandas(match, _MATCHES)
 
 
 def match_by_label(left: DataFrame, right: DataFrame, tolerance: float = 5) -> DataFrame:
@@ -103,7 +113,7 @@ def match_by_label(left: DataFrame, right: DataFrame, tolerance: float = 5) -> D
         gap = lambda row, box, right, theirs: np.where(right["cls"].to_numpy() == row.cls, -np.abs(theirs - box).sum(axis=1), -np.inf)
         return _greedy(a, b, gap, lambda s: s > -4 * tolerance)
 
-    return left.groupBy("page_id").cogroup(right.groupBy("page_id")).applyInPandas(match, _MATCHES)
+    return _by_page(left, right).applyInPandas(match, _MATCHES)
 
 
 def compare_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

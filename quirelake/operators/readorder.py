@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def band_order(points: list[tuple[float, float]], band: float = 10) -> list[int]:
@@ -35,4 +36,4 @@ def sort_bands(det: DataFrame, band: float = 10, page: str = "page_id", x: str =
             place[i] = n
         return frame.assign(line_rank=pd.Series(place, index=frame.index, dtype="int64"))
 
-    return det.groupBy(page).applyInPandas(rank, det.schema.add("line_rank", "long"))
+    return det.groupBy(page).applyInPandas(rank, T.StructType([*det.schema, T.StructField("line_rank", T.LongType())]))

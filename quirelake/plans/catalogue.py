@@ -6,7 +6,7 @@ Each entry applies one operator to its whole table; inputs are those of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -283,13 +283,13 @@ def region_text(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT conv_id, turn, 'text' AS route, md5(text) AS content FROM conversations WHERE role = 'user'
-  UNION ALL SELECT conv_id, turn, 'formula', md5(upper(text)) FROM conversations WHERE role <> 'user')
+  UNION ALL SELECT conv_id, turn, 'formula', md5(text || '$') FROM conversations WHERE role <> 'user')
 SELECT conv_id, count(*) AS n, string_agg(turn || ':' || route || ':' || content, ',' ORDER BY turn, route, content) AS slots FROM r GROUP BY conv_id"""
 )
 def fan_in_slots(spark, sf_dir):
     turns = sample.table(spark, sf_dir, "conversations")
     said = turns.where("role = 'user'").select("conv_id", "turn", F.lit("text").alias("route"), F.md5("text").alias("content"))
-    rest = turns.where("role <> 'user'").select("conv_id", "turn", F.lit("formula").alias("route"), F.md5(F.upper("text")).alias("content"))
+    rest = turns.where("role <> 'user'").select("conv_id", "turn", F.lit("formula").alias("route"), F.md5(F.concat("text", F.lit("$"))).alias("content"))
     out = route.fan_in([said, rest], "conv_id", "turn")
     spelt = F.transform("slots", lambda s: F.concat_ws(":", s["turn"].cast("string"), s["route"], s["content"]))
     return out.select("conv_id", F.size("slots").cast("long").alias("n"), F.array_join(spelt, ",").alias("slots"))
@@ -538,10 +538,3 @@ def crop_rectangles(spark, sf_dir):
     box = Box(*(F.col(c) * 1.25 - 20.5 for c in ("x1", "y1", "x2", "y2")))
     cut = boxes.crop(box, F.lit(300), F.lit(200))
     return d.select("page_id", "det_id", *(c.cast("long").alias(n) for c, n in zip(cut, ("cx1", "cy1", "cx2", "cy2"), strict=True)))
-
-
-def batches_of(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Frames cut into runs of ``size`` rows."""
-    for frame in frames:
-        for at in range(0, len(frame), size):
-            yield frame.iloc[at : at + size]

@@ -1,29 +1,28 @@
 """Schemas of document-analysis tables and their closed label domains.
 
 Lists of the object form become rows with an explicit ordinal: pages hold
-regions by ``layout_index``, regions hold lines by ``line_index``.
+regions by ``layout_index``, regions hold lines by ``line_index``. Schemas are DDL strings, so that importing
+them needs no session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-PAGES = T.StructType.fromDDL("page_id bigint, path string, width int, height int, doc_ori_label string, doc_ori_score float")
-REGIONS = T.StructType.fromDDL(
+PAGES = "page_id bigint, path string, width int, height int, doc_ori_label string, doc_ori_score float"
+REGIONS = (
     "page_id bigint, layout_index int, cls_id int, label string, score float, x1 float, y1 float, x2 float, y2 float, region_type string, "
     "formula struct<text:string,tokens:array<bigint>,score:float>, `table` struct<text:string,tokens:array<bigint>>"
 )
-LINES = T.StructType.fromDDL(
+LINES = (
     "page_id bigint, layout_index int, line_index int, poly array<array<int>>, det_score float, line_ori_label string, line_ori_score float, text string, scores array<double>"
 )
-CLASSIFICATION = T.StructType.fromDDL("score float, label string")
-DETECTION = T.StructType.fromDDL("cls_id int, label string, score float, coordinate array<float>")
-TEXT_DETECTION = T.StructType.fromDDL("polys array<array<array<int>>>, scores array<float>")
-RECOGNITION = T.StructType.fromDDL("text string, scores array<double>")
-TEXT_RESULT = T.StructType.fromDDL("text string, tokens array<bigint>, score float")
-TABLE_RESULT = T.StructType.fromDDL("text string, tokens array<bigint>")
+CLASSIFICATION = "score float, label string"
+DETECTION = "cls_id int, label string, score float, coordinate array<float>"
+TEXT_DETECTION = "polys array<array<array<int>>>, scores array<float>"
+RECOGNITION = "text string, scores array<double>"
+TEXT_RESULT = "text string, tokens array<bigint>, score float"
+TABLE_RESULT = "text string, tokens array<bigint>"
 #: As Spark's image source gives it: rows of blue, green, red bytes.
-IMAGE = T.StructType.fromDDL("origin string, height int, width int, nChannels int, mode int, data binary")
+IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
 
 #: The 25-class layout head, by class id.
 LAYOUT_LABELS = (
