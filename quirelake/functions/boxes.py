@@ -122,8 +122,8 @@ def order_corners(poly: Column) -> Column:
 
 
 def _to_multiple(x: Column, step: int) -> Column:
-    """Nearest multiple (halves to the even one, as a float rounding does), one step at least."""
-    return F.greatest(F.rint(x / step) * step, F.lit(step)).cast("int")
+    """Nearest multiple, halves upwards, one step at least."""
+    return F.greatest(round_half_up(x / step) * step, F.lit(step)).cast("int")
 
 
 def detector_size(width: Column, height: Column, limit: int, kind: str = "max", most: int = 4000, step: int = 32) -> tuple[Column, Column]:
@@ -140,10 +140,28 @@ def detector_size(width: Column, height: Column, limit: int, kind: str = "max",
             ratio = limit / long
         case _:
             raise ValueError(f"no such policy: {kind}")
-    w, h = F.floor(width * ratio), F.floor(height * ratio)
+    w, h = round_half_up(width * ratio), round_half_up(height * ratio)
     over = F.greatest(w, h)
     cap = F.when(over > most, most / over).otherwise(1.0)
-    return _to_multiple(F.floor(w * cap), step), _to_multiple(F.floor(h * cap), step)
+    return _to_multiple(round_half_up(w * cap), step), _to_multiple(round_half_up(h * cap), step)
+
+
+def long_side_size(width: Column, height: Column, long: int, step: int = 128) -> tuple[Column, Column]:
+    """Long side to ``long``, sides cut to whole pixels and then up to a multiple of ``step``."""
+    ratio = long / F.greatest(width, height)
+    up = lambda v: (F.ceil(F.floor(v * ratio) / step) * step).cast("int")
+    return up(width), up(height)
+
+
+def fit_within(width: Column, height: Column, most_width: int = 960, most_height: int = 1408, step: int = 64) -> tuple[Column, Column]:
+    """Shrunk in proportion into a frame, then down to multiples of ``step``, one at least."""
+    ratio = width / height
+    tall = ratio * most_height <= most_width
+    over = (width > most_width) | (height > most_height)
+    w = F.when(over, F.when(tall, F.floor(most_height * ratio)).otherwise(most_width)).otherwise(width)
+    h = F.when(over, F.when(tall, most_height).otherwise(F.floor(most_width / ratio))).otherwise(height)
+    down = lambda v: F.greatest(F.floor(v / step) * step, F.lit(step)).cast("int")
+    return down(w), down(h)
 
 
 def recognizer_width(width: Column, height: Column, line_height: int = 48, base: int = 320, most: int = 3200) -> Column:
@@ -152,9 +170,15 @@ def recognizer_width(width: Column, height: Column, line_height: int = 48, base:
     return F.least(F.floor(line_height * ratio), F.lit(most)).cast("int")
 
 
-def pixel_budget(width: Column, height: Column, least: int, most: int, step: int = 28) -> tuple[Column, Column]:
-    """Sides rounded to a multiple of ``step`` with an area within [least, most]."""
-    w, h = F.greatest(F.rint(width / step) * step, F.lit(step)), F.greatest(F.rint(height / step) * step, F.lit(step))
-    down, up = F.sqrt(width * height / most), F.sqrt(F.lit(least) / (width * height))
-    side = lambda v, r: F.when(w * h > most, F.greatest(F.floor(v / down / step) * step, F.lit(step))).when(w * h < least, F.ceil(v * up / step) * step).otherwise(r).cast("int")
-    return side(width, w), side(height, h)
+def pixel_budget(width: Column, height: Column, least: int, most: int, step: int = 28, frames: int = 2) -> tuple[Column, Column]:
+    """Sides as multiples of ``step`` whose area times ``frames`` lies within [least, most].
+
+    A side below ``step`` is first scaled up to it, with the other.
+    """
+    small = (width < step) | (height < step)
+    grow = F.greatest(step / height, step / width)
+    w0, h0 = F.when(small, F.floor(width * grow)).otherwise(width), F.when(small, F.floor(height * grow)).otherwise(height)
+    w, h = round_half_up(w0 / step) * step, round_half_up(h0 / step) * step
+    down, up = F.sqrt(frames * w0 * h0 / most), F.sqrt(F.lit(least) / (frames * w0 * h0))
+    side = lambda v, r: F.when(frames * w * h > most, F.greatest(F.floor(v / down / step) * step, F.lit(step))).when(frames * w * h < least, F.ceil(v * up / step) * step).otherwise(r).cast("int")
+    return side(w0, w), side(h0, h)

@@ -9,46 +9,66 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BLANKS = r"[ \t\n\r\f\x0B]+"
+#: White space of a pattern's \\s, spelt out, as engines differ in the vertical tab.
+_S = r"[ \t\n\x0B\f\r]"
 
 
 def strip(x: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(x, rf"^{_BLANKS}|{_BLANKS}$", "")
+    """Without control characters and spaces at both ends."""
+    return F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def unbracket(x: Column) -> Column:
+    r"""Without \[ and \] where a text has both around it."""
+    framed = x.startswith("\\[") & x.endswith("\\]") & (F.length(x) >= 4)
+    return F.when(framed, F.substr(x, F.lit(3), F.length(x) - 4)).otherwise(x)
+
+
+#: Marks of decoded text and what stands for them, in this order.
+TOKEN_MARKS = (("Ġ", " "), ("Ċ", "\n"), ("-<|sn|>", ""), (" <|sn|>", " "), ("<|sn|>", " "), ("<|unk|>", ""), ("<s>", ""), ("</s>", ""), ("\uffff", ""))
 
 
 def clean_tokens(x: Column) -> Column:
-    """Byte-level marks to white space, spacing tokens to one space, long runs of
-    marks cut to three, and display brackets taken off."""
-    for mark, text in (("Ġ", " "), ("Ċ", "\n"), ("<|bos|>", ""), ("<|eos|>", ""), ("<|pad|>", ""), ("<|sn|>", " ")):
+    """Byte-level marks to white space, special tokens out (a spacing token after
+    a hyphen or a space joins with it), long runs of underscores and dots cut to
+    three, display brackets taken off."""
+    for mark, text in TOKEN_MARKS:
         x = F.replace(x, F.lit(mark), F.lit(text))
-    x = F.regexp_replace(x, r"_{4,}", "___")
-    x = F.regexp_replace(x, r"\.{4,}", "...")
-    return F.regexp_replace(strip(x), r"^\\\[|\\\]$", "")
+    return unbracket(F.regexp_replace(F.regexp_replace(x, r"_{4,}", "___"), r"\.{4,}", "..."))
+
+
+#: Commands whose argument stays when their style goes, in this order.
+STYLES = ("bm", "boldsymbol", "textit", "textbf", "mathbf")
 
 
 def remove_style(x: Column) -> Column:
-    r"""Arguments of \bm, \boldsymbol, \textit, \textbf and \mathbf without the command."""
-    x = F.regexp_replace(x, r"\\(?:bm|boldsymbol|textit|textbf|mathbf)[ ]*\{([^{}]*)\}", "$1")
-    return strip(F.regexp_replace(strip(x), r"^\\\[|\\\]$", ""))
+    """Arguments of style commands without the command, up to the first closing
+    brace of a line; trimmed, and display brackets taken off."""
+    for style in STYLES:
+        x = F.regexp_replace(x, rf"\\{style}{_S}*\{{([^\n]*?)\}}", "$1")
+    return unbracket(strip(x))
 
 
 def add_newlines(x: Column) -> Column:
-    r"""Line breaks around \begin and \end and after \\; runs of breaks made one."""
-    x = F.regexp_replace(x, r"(\\(?:begin|end)\{[^{}]*\})", "\n$1\n")
-    x = F.regexp_replace(x, r"(\\\\)", "$1\n")
-    return strip(F.regexp_replace(x, r"\n+", "\n"))
+    r"""Line breaks around \begin{...} and \end{...} in place of the blanks there,
+    and after \\ (instead of a space, and unless there is one); runs of breaks
+    made one. Null is empty."""
+    x = F.coalesce(x, F.lit(""))
+    for word in ("begin", "end"):
+        x = F.regexp_replace(x, rf"{_S}*(\\{word}\{{[^}}]*\}}){_S}*", "\n$1\n")
+    x = F.regexp_replace(x, r"\\\\[ \n]?", "\\\\\\\\\n")
+    return strip(F.regexp_replace(x, r"\n{2,}", "\n"))
 
 
 def remove_dollar(x: Column) -> Column:
     """Without the outer pair of double dollars."""
     framed = x.startswith("$$") & x.endswith("$$") & (F.length(x) >= 4)
-    return F.when(framed, strip(F.substr(x, F.lit(3), F.length(x) - 4))).otherwise(x)
+    return F.when(framed, F.substr(x, F.lit(3), F.length(x) - 4)).otherwise(x)
 
 
 def remove_text_wrapping(x: Column) -> Column:
     r"""\text{...} around CJK characters unwrapped; quotation marks taken out."""
-    return F.replace(F.regexp_replace(x, r"\\text[ ]*\{([^{}]*?[一-鿿]+[^{}]*?)\}", "$1"), F.lit('"'), F.lit(""))
+    return F.replace(F.regexp_replace(x, rf"\\text{_S}*\{{{_S}*([^}}]*?[\u4e00-\u9fff]+[^}}]*?){_S}*\}}", "$1"), F.lit('"'), F.lit(""))
 
 
 def remove_prompt(x: Column, prompt: str, marks: tuple[str, ...] = ("<pad>", "</s>")) -> Column:
@@ -58,9 +78,14 @@ def remove_prompt(x: Column, prompt: str, marks: tuple[str, ...] = ("<pad>", "</
 
 
 def detokenize(tokens: Column, special: tuple[str, ...] = ("<s>", "</s>", "<pad>")) -> Column:
-    """Token strings to text: space marks replaced, special tokens dropped."""
-    real = F.filter(tokens, lambda t: ~t.isin(*special))
-    return strip(F.array_join(F.transform(real, lambda t: F.replace(F.replace(t, F.lit("Ġ"), F.lit(" ")), F.lit("Ċ"), F.lit(""))), ""))
+    """Token strings without space marks and outer blanks; special ones go, null ones are empty."""
+    plain = F.transform(tokens, lambda t: strip(F.replace(F.coalesce(t, F.lit("")), F.lit("Ġ"), F.lit(" "))))
+    return F.filter(plain, lambda t: ~t.isin(*special))
+
+
+def end_markers(x: Column, marks: tuple[str, ...] = ("<|end_of_query|>", "<|end_of_text|>")) -> Column:
+    """Generated text without its end markers, stripped."""
+    return remove_prompt(x, "", marks)
 
 
 def fill_prompt(template: Column, media: Column, prompt: Column, default: str = "Read all text in the image.") -> Column:
@@ -90,23 +115,31 @@ def shorten(x: Column, most: int = 200) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 
 
-_OPERATOR = re.compile(r"(\\(?:operatorname|mathrm|text|mathbf)\s?\*?\s*\{.*?\})")
-_NEEDLESS = tuple(
-    re.compile(p)
-    for p in (r"(?!\\ )([^A-Za-z0-9])\s+?([^A-Za-z0-9])", r"(?!\\ )([^A-Za-z0-9])\s+?([A-Za-z])", r"([A-Za-z])\s+?([^A-Za-z0-9])")
-)
+_OPERATOR = re.compile(r"\\(?:operatorname|mathrm|text|mathbf)[ \t\n\x0b\f\r]?\*? \{[^\n\r]*?\}")
+_COMMAND = re.compile(r"(\\[a-zA-Z]+)\s(?=\w)|\\[a-zA-Z]+\s(?=\})", re.ASCII)
+_OPERATORS = (r"\operatorname", r"\mathrm", r"\text", r"\mathbf")
+#: Stands for a space that must stay.
+_HELD = "\ue000"
+_NEEDLESS = tuple(re.compile(p, re.ASCII) for p in (r"(?!\\ )([^a-zA-Z])\s+?([^a-zA-Z])", r"(?!\\ )([^a-zA-Z])\s+?([a-zA-Z])", rf"([a-zA-Z{_HELD}])\s+?([^a-zA-Z{_HELD}])"))
 
 
 def normalize_latex_text(text: str) -> str:
-    """Spaces that LaTeX doesn't need taken out, until nothing changes; those
-    inside operator names are taken out as a whole first."""
-    text = _OPERATOR.sub(lambda m: m[0].replace(" ", ""), text)
+    """Spaces that LaTeX doesn't need taken out, until nothing changes.
+
+    Where a command stands within the braces of an operator name, all spaces of
+    the text go at once, but those after that command.
+    """
+    for found in _OPERATOR.finditer(text):
+        for inner in _COMMAND.finditer(found[0]):
+            name = inner[1] or inner[0]
+            if name not in _OPERATORS:
+                text = text.replace(name, name + _HELD).replace(" ", "")
     while True:
         now = text
         for rule in _NEEDLESS:
             now = rule.sub(r"\1\2", now)
         if now == text:
-            return text
+            return text.replace(_HELD, " ")
         text = now
 
 

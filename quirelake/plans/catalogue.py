@@ -323,45 +323,52 @@ def attention_pairs(spark, sf_dir):
     return q.join(k, (F.col("q.conv_id") == F.col("k.conv_id")) & near).select("q.conv_id", F.col("q.pos").alias("q_pos"), F.col("k.pos").alias("k_pos"))
 
 
-_BLANK = r"[ \t\n\r\f\x0B]+"
+_S = r"[ \t\n\x0B\f\r]"
 
 
 def _strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+    return f"regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
 
 
-_MARKED_SQL = "'\\[ <|bos|>' || replace(replace(text, ' ', 'Ġ'), '. ', '......<|sn|>') || '_____Ċ<|eos|>\\]'"
+def _unbracket_sql(x: str) -> str:
+    return f"CASE WHEN starts_with({x}, '\\[') AND ends_with({x}, '\\]') AND length({x}) >= 4 THEN substr({x}, 3, length({x}) - 4) ELSE {x} END"
+
+
+_MARKED_SQL = "'\\[ <s>' || replace(replace(text, ' ', 'Ġ'), '.Ġ', '......-<|sn|>') || '_____Ċ<|sn|></s>\\]'"
 
 
 @query(
     "WITH m AS (SELECT doc_id, "
-    + "replace(replace(replace(replace(replace(replace("
+    + "replace(replace(replace(replace(replace(replace(replace(replace("
     + _MARKED_SQL
-    + ", 'Ġ', ' '), 'Ċ', chr(10)), '<|bos|>', ''), '<|eos|>', ''), '<|pad|>', ''), '<|sn|>', ' ') AS x FROM documents), "
+    + ", 'Ġ', ' '), 'Ċ', chr(10)), '-<|sn|>', ''), ' <|sn|>', ' '), '<|sn|>', ' '), '<|unk|>', ''), '<s>', ''), '</s>', '') AS x FROM documents), "
     + "n AS (SELECT doc_id, regexp_replace(regexp_replace(x, '_{4,}', '___', 'g'), '\\.{4,}', '...', 'g') AS x FROM m) "
-    + "SELECT doc_id, md5(regexp_replace("
-    + _strip_sql("x")
-    + ", '^\\\\\\[|\\\\\\]$', '', 'g')) AS text_md5 FROM n"
+    + f"SELECT doc_id, md5({_unbracket_sql('x')}) AS text_md5 FROM n"
 )
 def clean_tokens(spark, sf_dir):
-    dotted = F.replace(F.replace("text", F.lit(" "), F.lit("Ġ")), F.lit(". "), F.lit("......<|sn|>"))
-    marked = F.concat(F.lit("\\[ <|bos|>"), dotted, F.lit("_____Ċ<|eos|>\\]"))
+    dotted = F.replace(F.replace("text", F.lit(" "), F.lit("Ġ")), F.lit(".Ġ"), F.lit("......-<|sn|>"))
+    marked = F.concat(F.lit("\\[ <s>"), dotted, F.lit("_____Ċ<|sn|></s>\\]"))
     return sample.table(spark, sf_dir, "documents").select("doc_id", F.md5(textnorm.clean_tokens(marked)).alias("text_md5"))
 
 
+def _styles_sql(x: str) -> str:
+    for style in textnorm.STYLES:
+        x = f"regexp_replace({x}, '\\\\{style}{_S}*\\{{([^\\n]*?)\\}}', '\\1', 'g')"
+    return x
+
+
 @query(
-    "WITH m AS (SELECT doc_id, '$$' || '\\mathbf{a b}' || text || '\\textit {c}\\begin{x}\\\\y\\end{x}' || '$$' AS x FROM documents), "
-    + "d AS (SELECT doc_id, "
-    + _strip_sql("substr(x, 3, length(x) - 4)")
-    + " AS x FROM m), s AS (SELECT doc_id, "
-    + _strip_sql("regexp_replace(" + _strip_sql("regexp_replace(x, '\\\\(?:bm|boldsymbol|textit|textbf|mathbf)[ ]*\\{([^{}]*)\\}', '\\1', 'g')") + ", '^\\\\\\[|\\\\\\]$', '', 'g')")
-    + " AS x FROM d), n AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(\\\\(?:begin|end)\\{[^{}]*\\})', chr(10) || '\\1' || chr(10), 'g'), '(\\\\\\\\)', '\\1' || chr(10), 'g') AS x FROM s) "
-    + "SELECT doc_id, md5("
-    + _strip_sql("regexp_replace(x, '\\n+', chr(10), 'g')")
-    + ") AS text_md5 FROM n"
+    "WITH m AS (SELECT doc_id, '$$\\[' || '\\mathbf{a b}' || text || '\\textit {c} \\begin{x}\\\\ y\\end{x} \\]' || '$$' AS x FROM documents), "
+    + "d AS (SELECT doc_id, substr(x, 3, length(x) - 4) AS x FROM m), s AS (SELECT doc_id, "
+    + _strip_sql(_styles_sql("x"))
+    + f" AS x FROM d), u AS (SELECT doc_id, {_unbracket_sql('x')} AS x FROM s), "
+    + f"n AS (SELECT doc_id, regexp_replace(regexp_replace(x, '{_S}*(\\\\begin\\{{[^}}]*\\}}){_S}*', chr(10) || '\\1' || chr(10), 'g'), '{_S}*(\\\\end\\{{[^}}]*\\}}){_S}*', chr(10) || '\\1' || chr(10), 'g') AS x FROM u), "
+    + "b AS (SELECT doc_id, regexp_replace(x, '\\\\\\\\[ \\n]?', '\\\\\\\\' || chr(10), 'g') AS x FROM n) SELECT doc_id, md5("
+    + _strip_sql("regexp_replace(x, '\\n{2,}', chr(10), 'g')")
+    + ") AS text_md5 FROM b"
 )
 def strip_style(spark, sf_dir):
-    marked = F.concat(F.lit("$$\\mathbf{a b}"), F.col("text"), F.lit("\\textit {c}\\begin{x}\\\\y\\end{x}$$"))
+    marked = F.concat(F.lit("$$\\[\\mathbf{a b}"), F.col("text"), F.lit("\\textit {c} \\begin{x}\\\\ y\\end{x} \\]$$"))
     clean = textnorm.add_newlines(textnorm.remove_style(textnorm.remove_dollar(marked)))
     return sample.table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("text_md5"))
 
@@ -449,7 +456,7 @@ def keys_diff(spark, sf_dir):
 @query(
     _det(
         """, s AS (SELECT page_id, det_id, x2 - x1 AS w, y2 - y1 AS h FROM det), q AS (SELECT *, CASE WHEN greatest(w, h) > 96 THEN 96.0::DOUBLE / greatest(w, h) ELSE 1 END AS r FROM s)
-SELECT page_id, det_id, CAST(greatest(round_even(floor(w * r) / 32, 0) * 32, 32) AS INTEGER) AS rw, CAST(greatest(round_even(floor(h * r) / 32, 0) * 32, 32) AS INTEGER) AS rh,
+SELECT page_id, det_id, CAST(greatest(floor(floor(w * r + 0.5) / 32 + 0.5) * 32, 32) AS INTEGER) AS rw, CAST(greatest(floor(floor(h * r + 0.5) / 32 + 0.5) * 32, 32) AS INTEGER) AS rh,
   CAST(least(floor(48 * greatest(320.0::DOUBLE / 48, w::DOUBLE / h)), 3200) AS INTEGER) AS line_w FROM q"""
     )
 )
