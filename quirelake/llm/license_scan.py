@@ -149,5 +149,5 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get("base", F.size("base") - 1).cast("long").alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"),
         F.array_join("labels", ",").alias("labels"),
-        "score",
+        F.round("score", 9).alias("score"),
     )

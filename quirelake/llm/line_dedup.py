@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, block_tasks, grouped_batches, runs
 from .components import connected_components
@@ -128,14 +129,14 @@ def _matcher(rules: LineRules):
     return match
 
 
-def _cleaner(rules: LineRules, n_keep: int):
+def _cleaner(rules: LineRules):
     """Texts without their dropped lines; a line goes with the break before it,
     the first with the break after it."""
 
     def clean(batches):
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(n_keep).cast(pa.large_binary()).to_pylist(), batch.column(n_keep + 1).to_pylist(), strict=True):
+            for text, drop in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")
                 n_lines.append(len(lines))
                 if not drop:
@@ -151,7 +152,7 @@ def _cleaner(rules: LineRules, n_keep: int):
                 texts.append(b"\n".join(kept))
                 n_dropped.append(len(lines) - len(kept))
             cleaned = pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], cleaned, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*batch.schema.names[:n_keep], "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), cleaned, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["_keep", "text", "n_lines", "n_dropped"])
 
     return clean
 
@@ -178,14 +179,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
 
     Rows of one doc_id and text are one document; all of them lose the same
     lines. A null doc_id comes last. Texts without a recurring line, null and
-    empty ones are returned as they are. Further columns are kept (names that
-    begin with an underscore are taken); no rows give none.
+    empty ones are returned as they are. Further columns are kept, whatever their
+    names, but for n_lines and n_dropped, which are made anew; no rows give none.
     """
     scratch = Scratch(spark, "lines")
-    names = docs.columns
-    keep = [c for c in names if c != "text"]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"), *keep, text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"), F.struct(*[c for c in names if c != "text"]).alias("_keep"), text.alias("text"))
     ids = scratch.table(base.select("_doc", "_th", "text").mapInArrow(_lines(rules), "doc_id long, th long, line long, leaf long"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     lines = scratch.table(ids.groupBy("line").agg(F.min("leaf").alias("leaf"), F.count("*").alias("docs"), F.min(place).alias("at")), "distinct")
@@ -206,9 +206,10 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") >= rules.min_docs).select("template", F.col("first.doc_id").alias("first"), F.col("first.th").alias("first_th"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th")))
     gone = places.join(recurring, "template").where(later).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_drop"))
-    full = base.join(gone, same(gone), "left").select(*[base[c] for c in keep], base["text"], "_drop")
-    schema = full.select(*keep, "text").schema.add("n_lines", "long").add("n_dropped", "long")
-    return full.mapInArrow(_cleaner(rules, len(keep)), schema).select(*names, "n_lines", "n_dropped")
+    full = base.join(gone, same(gone), "left").select(base["_keep"], base["text"], "_drop")
+    schema = T.StructType([*full.select("_keep", "text").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = full.mapInArrow(_cleaner(rules), schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("_keep")[c].alias(c) for c in names], "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,4 +118,4 @@ def judge_documents(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...]
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of all documents."""
     judged = judge_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))

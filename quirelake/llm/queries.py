@@ -7,6 +7,7 @@ from .embedding_dedup import op1_embedding_dedup
 from .license_scan import op9_license_scan
 from .line_dedup import op8_line_dedup
 from .minhash_dedup import op3_minhash_dedup
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import op6_packing
 from .quality_rules import op4_quality_rules
 from .secret_scan import op5_secret_scan
@@ -25,5 +26,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_token_store": op10_token_store,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -138,13 +138,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]")
 
     Spans that overlap become one mark. Texts are joined with spans of their
     doc_id and text; ``n_chars``, where there is such a column, is counted anew.
-    Texts without a span, null and empty ones stay as they are.
+    Texts without a span, null and empty ones stay as they are; so do further
+    columns, whatever their names.
     """
     found = scan_secrets(spark, docs).where(F.size("spans") > 0)
     spans = found.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.first("spans").alias("_spans"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_doc"]) & (keyed["_own"] == spans["_th"]), "left")
-    text = F.col("text")
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col("text").cast("string")).alias("_own"))
+    joined = keyed.join(spans, F.col("_row")["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_th")), "left")
+    text, hit = F.col("_row")["text"], F.col("_spans").isNotNull()
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s, x):
@@ -152,10 +153,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]")
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], before).alias("out"))
 
     clean = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    made = joined.withColumn("_clean", F.when(hit, clean).otherwise(text))
+    new = {"text": F.col("_clean"), "n_chars": F.when(hit, F.length("_clean").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return made.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

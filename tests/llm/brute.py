@@ -108,3 +108,75 @@ def licences(text):
                 hits.append(i)
                 labels.add(label)
     return len(w), len(hits), min(hits, default=None), max(hits, default=None), ",".join(sorted(labels))
+
+
+ANY = b"<*>"
+
+
+def line_dedup(rows, lead=3, percent=80, min_docs=3, min_tokens=5):
+    """rows: (doc_id, text), unique doc_id -> doc_id: text without recurring lines."""
+
+    def parse(line):
+        return tuple(ANY if re.search(rb"[0-9]", t) else t for t in line.split())
+
+    held, leaves = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").encode().split(b"\n"):
+            p = parse(line)
+            if len(p) >= min_tokens:
+                held[p].add(d)
+                leaves[len(p), p[:lead]].add(p)
+    links = []
+    for group in leaves.values():
+        group = sorted(group)
+        for i, p in enumerate(group):
+            links += [(p, q) for q in group[:i] if 100 * sum(x == y for x, y in zip(p, q, strict=True)) >= percent * len(p)]
+    template = components(held, links)
+    docs = defaultdict(set)
+    for p, at in held.items():
+        docs[template[p]] |= at
+    first = {m: min(at) for m, at in docs.items() if len(at) >= min_docs}
+    out = {}
+    for d, t in rows:
+        lines = []
+        for line in (t or "").encode().split(b"\n"):
+            p = parse(line)
+            if len(p) < min_tokens or first.get(template[p], d) == d:
+                lines.append(line)
+        out[d] = t if t is None else b"\n".join(lines).decode()
+    return out
+
+
+def redact(text, spans, mark="[SECRET]"):
+    """``text`` with spans (start, end) written over; those that overlap are one."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def check_packing(rows, ids, window=4096):
+    """Pieces (doc_id, start, length, crc, doc_tokens, sequence_id, offset) hold each
+    id of each document once, in gapless sequences; the fill is returned."""
+    import zlib
+
+    by, seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+        seq[r.sequence_id].append(r)
+    assert set(by) == set(ids)
+    for d, pieces in by.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids[d]) and r.ids_crc32 == zlib.crc32(ids[d][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[d])
+    for pieces in seq.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= window
+    return sum(map(len, ids.values())) / (window * len(seq)) if seq else 1.0
