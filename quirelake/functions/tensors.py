@@ -87,3 +87,31 @@ def attention_mask(ids: np.ndarray, end: int, opens: int, closes: int, pad: int
     image = np.where(opened > closed, opened, 0)
     causal = np.tril(np.ones((n, n), bool)) & (segment[:, None] == segment[None]) & real[None]
     return causal | ((image[:, None] == image[None]) & (image > 0)[None])
+
+
+def left_padded(ids: Column, length: Column, pad: int = 0) -> Column:
+    """Ids with padding at the left up to ``length``."""
+    gap = F.greatest(length - F.size(ids), F.lit(0))
+    return F.concat(F.array_repeat(F.lit(pad).cast("bigint"), gap.cast("int")), ids)
+
+
+def stretched(df: DataFrame, value: str, by: list[str], top: float = 255.0, name: str = "stretched") -> DataFrame:
+    """Adds a value moved to 0..``top`` between the least and greatest of its group; 0 where these are one."""
+    w = Window.partitionBy(*by)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return df.withColumn(name, F.when(high > low, (F.col(value) - low) / (high - low) * top).otherwise(0.0))
+
+
+def commonest(df: DataFrame, value: str, by: list[str], order: str, name: str = "commonest") -> DataFrame:
+    """The commonest value of each group; of equals the one met first.
+
+    Two aggregates with map-side combine, no window over whole groups.
+    """
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    best = F.max_by(F.struct(value, "_n"), F.struct(F.col("_n"), (-F.col("_first")).alias("_early")))
+    return counts.groupBy(*by).agg(best.alias("_b")).select(*by, F.col("_b")[value].alias(name), F.col("_b._n").alias("n"))
+
+
+def all_finished(df: DataFrame, by: list[str], test: Column, name: str = "finished") -> DataFrame:
+    """Whether every row of a group passes."""
+    return df.groupBy(*by).agg(F.bool_and(test).alias(name))

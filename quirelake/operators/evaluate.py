@@ -134,3 +134,17 @@ def spread(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
 def verdict(label_rate: float, score_rate: float, box_rate: float, score_p99: float, box_p99: float, count_rate: float) -> bool:
     """Whether two implementations' layouts agree."""
     return label_rate > 0.99 and score_rate > 0.95 and box_rate > 0.95 and score_p99 < 0.01 and box_p99 < 1 and count_rate > 0.95
+
+
+def agreement(pairs: DataFrame, score_tolerance: float = 0.01, box_tolerance: float = 5) -> DataFrame:
+    """One row of how far matched detections agree: pairs hold ``same`` (0 or 1),
+    ``score_gap`` and ``box_gap``. ``verdict`` takes its rates."""
+    rate = lambda test: F.round(F.avg(test.cast("int")), 9)
+    return pairs.agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("same"), 9).alias("label_rate"),
+        rate(F.col("score_gap") < score_tolerance).alias("score_rate"),
+        rate(F.col("box_gap") < box_tolerance).alias("box_rate"),
+        F.round(F.percentile("score_gap", F.lit(0.99)), 9).alias("score_p99"),
+        F.round(F.percentile("box_gap", F.lit(0.99)), 9).alias("box_p99"),
+    )

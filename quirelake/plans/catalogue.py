@@ -6,8 +6,6 @@ Each entry applies one operator to its whole table; inputs are those of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,9 +14,9 @@ from ..functions import boxes, decode, textnorm
 from ..functions.boxes import Box
 from ..operators import evaluate, layout, models, readorder, route
 from . import sample
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL as ORACLE_SQL
+from .registry import QUERIES as QUERIES
+from .registry import query
 
 PAGE_W, PAGE_H = 420, 380
 CLASS_LIMITS = {0: 400, 5: 250, 14: 700, 21: 150, 22: 600}
@@ -27,18 +25,6 @@ ROUTE_SQL = """CASE WHEN label IN ('image', 'chart', 'seal', 'header_image', 'fo
 INSIDE_SQL = "f.page_id = t.page_id AND f.x1 >= t.x1 AND f.y1 >= t.y1 AND f.x2 <= t.x2 AND f.y2 <= t.y2"
 
 
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _det(rest: str) -> str:
     return f"WITH {sample.DET_SQL}, lab AS (SELECT *, {sample.labels_sql()}[cls + 1] AS label FROM det) {rest}"
 
@@ -545,3 +531,6 @@ def crop_rectangles(spark, sf_dir):
     box = Box(*(F.col(c) * 1.25 - 20.5 for c in ("x1", "y1", "x2", "y2")))
     cut = boxes.crop(box, F.lit(300), F.lit(200))
     return d.select("page_id", "det_id", *(c.cast("long").alias(n) for c, n in zip(cut, ("cx1", "cy1", "cx2", "cy2"), strict=True)))
+
+
+from . import catalogue_pages as _pages  # noqa: E402,F401  registers the rest
