@@ -46,13 +46,23 @@ def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
     return np.where(x < 1, near, np.where(x < 2, far, 0.0))
 
 
+def _areas(source: int, target: int) -> np.ndarray:
+    """Shares of the source pixels that each target pixel covers."""
+    edge = np.arange(target + 1) * (source / target)
+    pixel = np.arange(source)
+    w = np.clip(np.minimum(edge[1:, None], pixel + 1) - np.maximum(edge[:-1, None], pixel), 0, None)
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def resize(image: np.ndarray, size: tuple[int, int], kind: str = "linear", antialias: bool = False) -> np.ndarray:
-    """Separable resampling, linear or cubic; with ``antialias`` the kernel widens as the image shrinks."""
-    kernel, support = {"linear": (_linear, 1.0), "cubic": (_cubic, 2.0)}[kind]
+    """Separable resampling: linear, cubic, or area (means of what a pixel covers);
+    with ``antialias`` a kernel widens as the image shrinks."""
+    kernels = {"linear": (_linear, 1.0), "cubic": (_cubic, 2.0)}
+    weights = _areas if kind == "area" else lambda source, target: _weights(source, target, kernels[kind][1], kernels[kind][0], antialias)
     w, h = size
     x = image.astype(float) if image.ndim == 3 else image[..., None].astype(float)
-    x = np.einsum("th,hwc->twc", _weights(x.shape[0], h, support, kernel, antialias), x)
-    x = np.einsum("tw,hwc->htc", _weights(x.shape[1], w, support, kernel, antialias), x)
+    x = np.einsum("th,hwc->twc", weights(x.shape[0], h), x)
+    x = np.einsum("tw,hwc->htc", weights(x.shape[1], w), x)
     x = x if image.ndim == 3 else x[..., 0]
     return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else x.astype(image.dtype)
 

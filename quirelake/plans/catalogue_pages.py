@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, decode, probmap, tensors, textnorm
@@ -264,14 +264,3 @@ def page_reading(spark, sf_dir):
     got = ocr(pages, models).nested()
     line = F.transform(F.col("regions")[0]["lines"], lambda x: x["text"])
     return got.select("page_id", F.size("regions").alias("n_regions"), F.array_join(line, "").alias("title"), F.col("regions")[1]["formula"]["text"].alias("formula"), F.col("regions")[2]["table"]["text"].alias("table"))
-
-
-def register_tokenizer_query(path: str):
-    """A query of ids and decoded text under a tokenizer file, for callers that have one."""
-    from ..functions import tokenizer
-
-    def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-        turns = sample.table(spark, sf_dir, "conversations").select("conv_id", "turn", tokenizer.encode(F.col("text"), path).alias("ids"))
-        return turns.select("conv_id", "turn", F.size("ids").alias("n"), tokenizer.decode(F.col("ids"), path).alias("text"))
-
-    return token_round_trip

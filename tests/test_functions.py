@@ -164,6 +164,7 @@ def test_pixels():
     assert (pixels.resize(image, (20, 10)) == image).all() and pixels.resize(image, (7, 5), "cubic", True).shape == (5, 7, 3)
     flat = np.full((9, 9, 3), 77, np.uint8)
     assert (pixels.resize(flat, (4, 13), "cubic") == 77).all() and (pixels.resize(flat, (31, 3), "linear", True) == 77).all()
+    assert (pixels.resize(np.arange(8, dtype=float).reshape(2, 4), (2, 1), "area") == [[2.5, 4.5]]).all()
     assert pixels.resize_by_short(image, 5).shape == (5, 10, 3)
     assert (pixels.rotate(pixels.rotate(image, 90), 270) == image).all() and (pixels.rotate(image, 180) == image[::-1, ::-1]).all()
     assert pixels.crop(image, (4, 4)).shape == (4, 4, 3)
