@@ -87,11 +87,13 @@ def cxcywh_to_xyxy(spark, sf_dir):
         """, p AS (SELECT a.page_id, a.det_id AS a_id, b.det_id AS b_id,
   (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s
   FROM det a JOIN det b ON a.page_id = b.page_id AND a.det_id < b.det_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)
-SELECT page_id, a_id, b_id, round(CAST(i AS DOUBLE) / (s - i), 9) AS iou FROM p"""
+SELECT page_id, a_id, b_id, CAST(floor(CAST(i AS DOUBLE) / (s - i) * 1000000) AS BIGINT) AS iou_millionths FROM p"""
     )
 )
 def iou_pairs(spark, sf_dir):
-    return layout.candidate_pairs(sample.det(spark, sf_dir)).withColumn("iou", F.round("iou", 9))
+    # In whole millionths, as engines round ties differently.
+    pairs = layout.candidate_pairs(sample.det(spark, sf_dir))
+    return pairs.select("page_id", "a_id", "b_id", F.floor(F.col("iou") * 1_000_000).alias("iou_millionths"))
 
 
 @query(
