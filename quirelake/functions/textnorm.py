@@ -96,6 +96,11 @@ def fill_prompt(template: Column, media: Column, prompt: Column, default: str =
     return template
 
 
+def chat_prompt(template: str, message: Column) -> Column:
+    """A chat template with the message for its ``%s``."""
+    return F.format_string(template, message)
+
+
 def image_prompt(rows: Column, cols: Column, tokens: int, mark: str = "<image>") -> Column:
     """Prompt of a tiled image: a labelled run of image tokens a tile, then the whole image."""
     run = mark * tokens

@@ -10,10 +10,12 @@ of the fan-in, over text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -33,19 +35,26 @@ _LINE = "page_id bigint, layout_index int, line_index int, poly array<array<int>
 
 @dataclass(frozen=True)
 class Stage:
-    """A model of a stage: its factory, name, batch size and options."""
+    """A model of a stage: its factory, name, batch size and options.
+
+    ``clock`` is an accumulator of the seconds spent in the model by all tasks;
+    ``ocr`` gives each stage one.
+    """
 
     factory: Factory
     name: str = "model"
     batch: int = 1
     options: Options = field(default_factory=Options)
+    clock: Accumulator | None = None
 
     def run(self, items: list) -> list:
         """Results of items in order, in batches, halved where one fails."""
         model = cached_model(self.factory, self.name, self.options)
-        out: list = []
+        began, out = perf_counter(), []
         for part in batches(items, self.batch):
             out += bisect_retry(part, lambda x: model(x, self.options))
+        if self.clock is not None:
+            self.clock.add(perf_counter() - began)
         return out
 
 
@@ -70,12 +79,14 @@ class Models:
 
 @dataclass(frozen=True)
 class Tables:
-    """Results as rows, and what each stage saw (rows by stage, once it has run)."""
+    """Results as rows; what each stage saw (rows, once it has run); and the
+    seconds that each model took, retried tasks included."""
 
     pages: DataFrame
     regions: DataFrame
     lines: DataFrame
     seen: dict[str, Observation]
+    seconds: dict[str, Accumulator]
 
     def nested(self) -> DataFrame:
         """One row a page, with its regions and their lines."""
@@ -254,6 +265,9 @@ def ocr(pages: DataFrame, models: Models) -> Tables:
     give empty tables.
     """
     seen: dict[str, Observation] = {}
+    given = {f.name: stage for f in fields(models) if (stage := getattr(models, f.name)) is not None}
+    seconds = {name: pages.sparkSession.sparkContext.accumulator(0.0) for name in given}
+    models = replace(models, **{name: replace(stage, clock=seconds[name]) for name, stage in given.items()})
 
     def note(df: DataFrame, stage: str) -> DataFrame:
         seen[stage] = Observation(stage)
@@ -272,4 +286,4 @@ def ocr(pages: DataFrame, models: Models) -> Tables:
         else:
             done = written(note(read(branch(name), model), name), name)
             regions = regions.join(done, ["page_id", "layout_index"], "left")
-    return Tables(upright.select("page_id", "path", "width", "height", "doc_ori_label", "doc_ori_score"), regions, lines, seen)
+    return Tables(upright.select("page_id", "path", "width", "height", "doc_ori_label", "doc_ori_score"), regions, lines, seen, seconds)

@@ -215,6 +215,7 @@ def test_prompts(spark):
     f = lambda t, m, p: textnorm.fill_prompt(F.lit(t), F.lit(m), F.lit(p))
     assert one(spark, f("{media}\n{prompt}", "<IMG>", "  "), f("{{media}} {{prompt}}", "<IMG>", "read")) == ("<IMG>\nRead all text in the image.", "<IMG> read")
     assert one(spark, textnorm.remove_prompt(F.lit("say: x </s><pad>"), "say:"))[0] == "x"
+    assert one(spark, textnorm.chat_prompt("User:%s<end>", F.lit("hi")))[0] == "User:hi<end>"
     (tiles,) = one(spark, textnorm.image_prompt(F.lit(1), F.lit(2), 2))
     assert tiles.count("<image>") == 6 and "<row_1_col_2>" in tiles
 

@@ -76,6 +76,7 @@ def test_mixed_page_takes_every_branch(spark, stage):
         assert page.doc_ori_label == "0"
     assert stage.sizes("layout") == [2] and stage.sizes("formula") == [2] and stage.sizes("detection") == [1, 1]
     assert {k: v.get["rows"] for k, v in out.seen.items()} == {"orientation": 2, "layout": 2, "regions": 8, "detection": 2, "recognition": 2, "formula": 2, "table": 2}
+    assert set(out.seconds) == {"layout", "doc_orientation", "line_orientation", "formula", "table", "detection", "recognition"} and all(c.value > 0 for c in out.seconds.values())
     assert list(out.seen) == ["orientation", "layout", "regions", "detection", "recognition", "formula", "table"]
 
 
