@@ -120,6 +120,7 @@ def shorten(x: Column, most: int = 200) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 
 
+# Patterns of the spacing rules.
 _OPERATOR = re.compile(r"\\(?:operatorname|mathrm|text|mathbf)[ \t\n\x0b\f\r]?\*? \{[^\n\r]*?\}")
 _COMMAND = re.compile(r"(\\[a-zA-Z]+)\s(?=\w)|\\[a-zA-Z]+\s(?=\})", re.ASCII)
 _OPERATORS = (r"\operatorname", r"\mathrm", r"\text", r"\mathbf")

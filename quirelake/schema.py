@@ -24,6 +24,7 @@ TABLE_RESULT = "text string, tokens array<bigint>"
 #: As Spark's image source gives it: rows of blue, green, red bytes.
 IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
 
+# Label domains of published heads, and how labels are routed.
 #: The 25-class layout head, by class id.
 LAYOUT_LABELS = (
     "abstract", "algorithm", "aside_text", "chart", "content", "display_formula", "doc_title", "figure_title", "footer", "footer_image",
