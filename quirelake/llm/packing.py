@@ -16,8 +16,12 @@ from .encoders import chunk_encoder
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that one packing task sorts and fits; waste is at most a few windows a task.
+#: Pieces, and ids where they ride along, that are packed together and held by a
+#: task at once; waste is at most a few windows a group.
 GROUP_PIECES = 50_000
+GROUP_IDS = 4_000_000
+#: Shuffle partitions; beyond that, a task packs several groups one after another.
+MOST_PARTS = 100_000
 
 
 class OpenWindows:
@@ -134,6 +138,7 @@ def pack_documents(
     end_id: int = END_ID,
     with_ids: bool = True,
     group_pieces: int = GROUP_PIECES,
+    group_ids: int = GROUP_IDS,
 ) -> DataFrame:
     """Pack ``docs`` (doc_id, text; more columns are left out) into windows.
 
@@ -146,9 +151,10 @@ def pack_documents(
 
     The ids are made in one map over the texts; only the pieces are dealt out,
     by a hash of their place in the written table, into groups of about
-    ``group_pieces`` that are packed apart. So a hot source, a repeated row or
-    very many equal lengths load no task more than another. Each group leaves at
-    most a few windows part empty.
+    ``group_pieces`` (and ``group_ids``, with ids) that are packed apart. So a hot
+    source, a repeated row or very many equal lengths load no task more than
+    another, and what a task holds doesn't grow with the corpus. Each group
+    leaves at most a few windows part empty.
 
     Null and empty texts are the end id alone. A null doc_id is kept, repeated
     rows are packed each for itself, and an empty table gives no rows. A text is
@@ -157,11 +163,12 @@ def pack_documents(
     scratch = Scratch(spark, "packing")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cutter(vocabulary, window, end_id, with_ids), PIECES)
     pieces = scratch.table(cut, "pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
+    n, ids = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, -(-n // group_pieces), -(-ids // group_ids) if with_ids else 1)
     columns = PIECES.names if with_ids else PIECES.names[:-1]
     dealt = (
         pieces.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("g"), *columns)
-        .repartition(groups, "g")
+        .repartition(min(groups, MOST_PARTS), "g")
         .sortWithinPartitions("g", F.desc("length"))
     )
     schema = T.StructType([f for f in PIECES if f.name in columns] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
