@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,21 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors reach.
-
-    ``spark.checkpoint.dir`` of the session; only where that is unset (local
-    tests) a temporary folder is made and set.
-    """
-    try:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:
-        path = None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quirelake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from ..sources.tables import shared_folder
 
 
 class Scratch:
@@ -36,7 +21,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/quirelake-{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/quirelake-{name}-{uuid.uuid4().hex}"
         self._n = 0
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
