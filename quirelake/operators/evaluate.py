@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .grouped import over_groups
+
 
 def edit_distances(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """Adds ``distance`` (code points) and ``longest``."""
@@ -67,53 +71,49 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(common, union, out=np.zeros(len(b)), where=union > 0)
 
 
-_MATCHES = "page_id long, left_id long, right_id long, score double"
 _BOX = ["x1", "y1", "x2", "y2"]
 
 
-def _greedy(left: pd.DataFrame, right: pd.DataFrame, scores, accept) -> pd.DataFrame:
-    if not len(left) or not len(right):
-        return pd.DataFrame({"page_id": [], "left_id": [], "right_id": [], "score": []})
-    left, right = left.sort_values("det_id"), right.sort_values("det_id")
-    out, free = [], np.ones(len(right), bool)
-    theirs = right[_BOX].to_numpy(float)
-    for row, box in zip(left.itertuples(), left[_BOX].to_numpy(float), strict=True):
-        if not free.any():
-            break
-        s = np.where(free, scores(row, box, right, theirs), -np.inf)
-        j = int(np.argmax(s))
-        if accept(s[j]):
-            free[j] = False
-            out.append((row.page_id, row.det_id, right.iloc[j]["det_id"], float(abs(s[j]))))
-    return pd.DataFrame(out, columns=["page_id", "left_id", "right_id", "score"])
+def _matched(left: DataFrame, right: DataFrame, score: Callable, accept: Callable) -> DataFrame:
+    """page_id, left_id, right_id, score: each left box of a page in turn takes the
+    free right box of the best score, if that is accepted.
 
+    ``score`` has a left box, its class and the right boxes and classes.
+    """
+    sides = [df.select("page_id", "det_id", "cls", *(F.col(c).cast("double").alias(c) for c in _BOX), F.lit(n).alias("side")) for n, df in enumerate((left, right))]
 
-def _by_page(left: DataFrame, right: DataFrame):
-    """Both sides' boxes of a page together. Columns are named anew, as a cogroup
-    of two frames of one source loses columns that they share."""
-    a, b = (df.select(*[F.col(c).alias(c) for c in ("page_id", "det_id", "cls", *_BOX)]) for df in (left, right))
-    return a.groupBy("page_id").cogroup(b.groupBy("page_id"))
+    def match(c: dict[str, np.ndarray]) -> tuple:
+        n = int((c["side"] == 0).sum())
+        boxes, cls = np.stack([c[x] for x in _BOX], axis=1), c["cls"]
+        free, rows, partners, scores = np.ones(len(cls) - n, bool), [], [], []
+        for i in range(n):
+            if not free.any():
+                break
+            s = np.where(free, score(boxes[i], cls[i], boxes[n:], cls[n:]), -np.inf)
+            j = int(np.argmax(s))
+            if accept(s[j]):
+                free[j] = False
+                rows.append(i)
+                partners.append(c["det_id"][n + j])
+                scores.append(abs(s[j]))
+        return np.array(rows, np.int64), (np.array(partners, np.int64), np.array(scores, np.float64))
+
+    added = [T.StructField("right_id", T.LongType()), T.StructField("score", T.DoubleType())]
+    both = over_groups(sides[0].unionByName(sides[1]), "page_id", ["side", "det_id"], ["side", "det_id", "cls", *_BOX], match, ["page_id", "det_id"], added)
+    return both.withColumnRenamed("det_id", "left_id")
 
 
 def match_by_overlap(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one matches of a page's boxes: each left box in turn takes the best
     free right box, if their IoU is above ``least``."""
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(a, b, lambda row, box, right, theirs: _ratio(box, theirs), lambda s: s > least)
-
-    return _by_page(left, right).applyInPandas(match, _MATCHES)
+    return _matched(left, right, lambda box, cls, boxes, classes: _ratio(box, boxes), lambda s: s > least)
 
 
 def match_by_label(left: DataFrame, right: DataFrame, tolerance: float = 5) -> DataFrame:
     """One-to-one matches of a page's boxes of one class: the free box of the
     least summed difference of sides, if that is below four tolerances."""
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        gap = lambda row, box, right, theirs: np.where(right["cls"].to_numpy() == row.cls, -np.abs(theirs - box).sum(axis=1), -np.inf)
-        return _greedy(a, b, gap, lambda s: s > -4 * tolerance)
-
-    return _by_page(left, right).applyInPandas(match, _MATCHES)
+    gap = lambda box, cls, boxes, classes: np.where(classes == cls, -np.abs(boxes - box).sum(axis=1), -np.inf)
+    return _matched(left, right, gap, lambda s: s > -4 * tolerance)
 
 
 def compare_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.boxes import Box
+from .grouped import over_groups
 
 
 def score_filter(det: DataFrame, threshold: float | int, score: str = "score", inclusive: bool = False) -> DataFrame:
@@ -49,30 +50,38 @@ def candidate_pairs(det: DataFrame, page: str = "page_id", det_id: str = "det_id
     return a.join(b, test).select(F.col(f"a.{page}").alias(page), F.col(f"a.{det_id}").alias("a_id"), F.col(f"b.{det_id}").alias("b_id"), boxes.iou(x, y).alias("iou"))
 
 
-def suppress(frame: pd.DataFrame, same: float, other: float) -> pd.DataFrame:
-    """Greedy suppression of one page's rows, best score first (``det_id`` in
-    that order): a box goes if it overlaps a kept one by ``same`` in its class or
-    by ``other`` in another."""
-    frame = frame.sort_values("det_id")
-    x1, y1, x2, y2 = (frame[c].to_numpy(np.float64) for c in ("x1", "y1", "x2", "y2"))
-    cls = frame["cls"].to_numpy()
+def suppressed(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, cls: np.ndarray, same: float, other: float) -> np.ndarray:
+    """Which boxes stay, best first: one goes if it overlaps a kept one before it
+    by ``same`` in its class or by ``other`` in another."""
     size = (x2 - x1) * (y2 - y1)
-    live = np.ones(len(frame), bool)
-    for i in range(len(frame)):
+    live = np.ones(len(x1), bool)
+    for i in range(len(x1) - 1):
         if live[i]:
             w = np.minimum(x2[i], x2[i + 1 :]) - np.maximum(x1[i], x1[i + 1 :])
             h = np.minimum(y2[i], y2[i + 1 :]) - np.maximum(y1[i], y1[i + 1 :])
             common = np.maximum(w, 0) * np.maximum(h, 0)
             union = size[i] + size[i + 1 :] - common
-            ratio = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+            ratio = np.divide(common, union, out=np.zeros(len(common)), where=union > 0)
             live[i + 1 :] &= ratio < np.where(cls[i + 1 :] == cls[i], same, other)
-    return frame[live]
+    return live
+
+
+def suppress(frame: pd.DataFrame, same: float, other: float) -> pd.DataFrame:
+    """``suppressed`` over one page's rows, which ``det_id`` puts best first."""
+    frame = frame.sort_values("det_id")
+    box = [frame[c].to_numpy(np.float64) for c in ("x1", "y1", "x2", "y2")]
+    return frame[suppressed(*box, frame["cls"].to_numpy(), same, other)]
 
 
 def non_maximum_suppression(det: DataFrame, same: float = 0.6, other: float = 0.98, page: str = "page_id") -> DataFrame:
-    """``suppress`` over every page. Which boxes stay depends on which stayed
+    """``suppressed`` over every page. Which boxes stay depends on which stayed
     before, so a page is one group; pages hold hundreds of boxes at most."""
-    return det.groupBy(page).applyInPandas(lambda f: suppress(f, same, other), det.schema)
+
+    def stay(c: dict[str, np.ndarray]) -> tuple:
+        box = [c[n].astype(np.float64) for n in ("x1", "y1", "x2", "y2")]
+        return np.flatnonzero(suppressed(*box, c["cls"], same, other)), ()
+
+    return over_groups(det, page, ["det_id"], ["x1", "y1", "x2", "y2", "cls"], stay, det.columns)
 
 
 def top_queries(df: DataFrame, key: str, scores: str, n: int, classes: int) -> DataFrame:

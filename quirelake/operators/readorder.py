@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .grouped import over_groups
+
 
 def band_order(points: list[tuple[float, float]], band: float = 10) -> list[int]:
     """Order of quads by their first corners: by height, then along; then each
@@ -28,12 +30,9 @@ def sort_bands(det: DataFrame, band: float = 10, page: str = "page_id", x: str =
     group of at most a few thousand lines.
     """
 
-    def rank(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(det_id)
-        order = band_order(list(zip(frame[x].tolist(), frame[y].tolist(), strict=True)), band)
-        place = [0] * len(order)
-        for n, i in enumerate(order):
-            place[i] = n
-        return frame.assign(line_rank=pd.Series(place, index=frame.index, dtype="int64"))
+    def rank(c: dict[str, np.ndarray]) -> tuple:
+        place = np.empty(len(c[x]), np.int64)
+        place[band_order(list(zip(c[x].tolist(), c[y].tolist(), strict=True)), band)] = np.arange(len(place))
+        return np.arange(len(place)), (place,)
 
-    return det.groupBy(page).applyInPandas(rank, T.StructType([*det.schema, T.StructField("line_rank", T.LongType())]))
+    return over_groups(det, page, [det_id], [x, y], rank, det.columns, [T.StructField("line_rank", T.LongType())])

@@ -356,3 +356,24 @@ def test_dictionaries(spark, tmp_path):
 def test_normalize_latex_column(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": [r"a + b", None]}))
     assert [r[0] for r in df.select(textnorm.normalize_latex("x")).collect()] == ["a+b", None]
+
+
+def test_groups_across_batches(spark):
+    from collections import defaultdict
+
+    from pyspark.sql import types as T
+
+    from quirelake.operators.grouped import over_groups
+
+    rows = [(None if k % 7 == 3 else k % 7, i, f"t{i}") for i, k in enumerate(range(200))]
+    df = spark.createDataFrame(rows, "k int, i long, t string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = over_groups(df, "k", ["i"], ["i"], lambda c: (np.arange(0, len(c["i"]), 2), (c["i"][::2] * 10,)), ["k", "t"], [T.StructField("ten", T.LongType())]).collect()
+        none = over_groups(df.limit(0), "k", ["i"], ["i"], lambda c: (np.arange(len(c["i"])), ()), ["k"]).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = defaultdict(list)
+    for k, i, _ in rows:
+        groups[k].append(i)
+    assert {(r.k, r.t, r.ten) for r in got} == {(k, f"t{i}", 10 * i) for k, own in groups.items() for i in own[::2]} and len(got) == sum(len(own[::2]) for own in groups.values()) and none == 0
