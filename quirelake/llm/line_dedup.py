@@ -27,8 +27,8 @@ class LineRules:
 
     ``lead`` tokens after the token count are the tree's levels. Lines of a leaf
     whose tokens agree in ``percent`` of the places share a template. A template
-    in ``min_docs`` documents or more is recurring; lines of fewer than
-    ``min_tokens`` tokens are left alone.
+    in ``min_docs`` documents or more is recurring. A line of fewer than
+    ``min_tokens`` tokens is a template of its own: all its tokens lead.
     """
 
     lead: int = 3
@@ -49,17 +49,18 @@ def _digest(raw: bytes) -> int:
 
 def _parse(text: bytes | None, rules: LineRules):
     """Yield (line hash, leaf hash, masked line) of each distinct line of a text
-    that is long enough for a template."""
+    that is not blank."""
     seen = set()
     for raw in (text or b"").split(b"\n"):
         parts = masked(raw)
-        if len(parts) < rules.min_tokens:
+        if not parts:
             continue
+        lead = rules.lead if len(parts) >= rules.min_tokens else len(parts)
         joined = b" ".join(parts)
         line = _digest(joined)
         if line not in seen:
             seen.add(line)
-            yield line, _digest(b"%d %s" % (len(parts), b" ".join(parts[: rules.lead]))), joined
+            yield line, _digest(b"%d %s" % (len(parts), b" ".join(parts[:lead]))), joined
 
 
 def _lines(rules: LineRules):
@@ -147,7 +148,7 @@ def _cleaner(rules: LineRules):
                 kept = []
                 for raw in lines:
                     parts = masked(raw)
-                    if len(parts) < rules.min_tokens or _digest(b" ".join(parts)) not in gone:
+                    if not parts or _digest(b" ".join(parts)) not in gone:
                         kept.append(raw)
                 texts.append(b"\n".join(kept))
                 n_dropped.append(len(lines) - len(kept))
@@ -162,7 +163,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
 
     Lines are parsed by a fixed-depth tree: token count, then the leading
     tokens, tokens with digits standing for a variable field. The lines of a
-    leaf that agree in enough places share a template. A template that lies in
+    leaf that agree in enough places share a template; short lines have a leaf
+    each, blank ones none. A template that lies in
     ``rules.min_docs`` documents or more is dropped everywhere but in the
     document of the smallest doc_id that holds it, where all its lines stay.
 
