@@ -19,6 +19,8 @@ ANY = b"<*>"
 #: Distinct masked lines of a leaf that one block of a task holds.
 LEAF_BLOCK = 2048
 _DIGIT = re.compile(rb"[0-9]")
+#: Letters of scripts written without spaces: Thai, Lao, kana, Chinese characters.
+_UNSPACED = re.compile(rb"\xe0[\xb8-\xbb].|\xe3[\x81-\x83].|[\xe4-\xe9]..", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -27,7 +29,9 @@ class LineRules:
 
     ``lead`` tokens after the token count are the tree's levels. Lines of a leaf
     whose tokens agree in ``percent`` of the places share a template. A template
-    in ``min_docs`` documents or more is recurring. A line of fewer than
+    in ``min_docs`` documents or more is recurring, one of ``long_tokens`` tokens
+    or more (two letters of a script without spaces counting as one) in
+    ``long_docs``. A line of fewer than
     ``min_tokens`` tokens is a template of its own: all its tokens lead.
     """
 
@@ -35,6 +39,8 @@ class LineRules:
     percent: int = 80
     min_docs: int = 3
     min_tokens: int = 5
+    long_tokens: int = 50
+    long_docs: int = 2
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -48,8 +54,8 @@ def _digest(raw: bytes) -> int:
 
 
 def _parse(text: bytes | None, rules: LineRules):
-    """Yield (line hash, leaf hash, masked line) of each distinct line of a text
-    that is not blank."""
+    """Yield (line hash, leaf hash, masked line, documents it needs to recur) of
+    each distinct line of a text that is not blank."""
     seen = set()
     for raw in (text or b"").split(b"\n"):
         parts = masked(raw)
@@ -60,22 +66,25 @@ def _parse(text: bytes | None, rules: LineRules):
         line = _digest(joined)
         if line not in seen:
             seen.add(line)
-            yield line, _digest(b"%d %s" % (len(parts), b" ".join(parts[:lead]))), joined
+            words = len(parts) + (0 if joined.isascii() else len(_UNSPACED.findall(joined)) // 2)
+            need = min(rules.long_docs, rules.min_docs) if words >= rules.long_tokens else rules.min_docs
+            yield line, _digest(b"%d %s" % (len(parts), b" ".join(parts[:lead]))), joined, need
 
 
 def _lines(rules: LineRules):
-    """(doc_id, text hash, line hash, leaf hash) of each such line."""
+    """(doc_id, text hash, line hash, leaf hash, documents needed) of each such line."""
 
     def split(batches):
         for batch in batches:
-            at, line, leaf = [], [], []
+            at, line, leaf, need = [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.large_binary()).to_pylist()):
-                for x, y, _ in _parse(text, rules):
+                for x, y, _, n in _parse(text, rules):
                     at.append(i)
                     line.append(x)
                     leaf.append(y)
+                    need.append(n)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int64()), pa.array(leaf, pa.int64())], ["doc_id", "th", "line", "leaf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(line, pa.int64()), pa.array(leaf, pa.int64()), pa.array(need, pa.int32())], ["doc_id", "th", "line", "leaf", "need"])
 
     return split
 
@@ -88,7 +97,7 @@ def _wanted(rules: LineRules):
             rows = []
             for text, asked in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = {x["line"]: x["n"] for x in asked}
-                rows += [(line, leaf, n[line], joined) for line, leaf, joined in _parse(text, rules) if line in n]
+                rows += [(line, leaf, n[line], joined) for line, leaf, joined, _ in _parse(text, rules) if line in n]
             columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["line", "leaf", "n", "tokens"])
 
@@ -165,8 +174,9 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
     tokens, tokens with digits standing for a variable field. The lines of a
     leaf that agree in enough places share a template; short lines have a leaf
     each, blank ones none. A template that lies in
-    ``rules.min_docs`` documents or more is dropped everywhere but in the
-    document of the smallest doc_id that holds it, where all its lines stay.
+    ``rules.min_docs`` documents or more (a long one in ``rules.long_docs``) is
+    dropped everywhere but in the document of the smallest doc_id that holds it,
+    where all its lines stay.
 
     1. One map gives the hashes of the lines of each document and of their
        leaves, as a narrow table.
@@ -188,9 +198,9 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"), F.struct(*[c for c in names if c != "text"]).alias("_keep"), text.alias("text"))
-    ids = scratch.table(base.select("_doc", "_th", "text").mapInArrow(_lines(rules), "doc_id long, th long, line long, leaf long"), "lines")
+    ids = scratch.table(base.select("_doc", "_th", "text").mapInArrow(_lines(rules), "doc_id long, th long, line long, leaf long, need int"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    lines = scratch.table(ids.groupBy("line").agg(F.min("leaf").alias("leaf"), F.count("*").alias("docs"), F.min(place).alias("at")), "distinct")
+    lines = scratch.table(ids.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("need").alias("need"), F.count("*").alias("docs"), F.min(place).alias("at")), "distinct")
     crowd = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     asked = lines.join(crowd, "leaf").select(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"), "line", "n")
     asked = asked.groupBy("_doc", "_th").agg(F.collect_list(F.struct("line", "n")).alias("asked"))
@@ -199,13 +209,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
     leaves = block_tasks(found, "n", LEAF_BLOCK, "line", ["leaf"])
     alike = leaves.select("leaf", "bi", "bj", "line", "tokens").mapInArrow(_matcher(rules), "a long, b long")
     template = connected_components(spark, scratch.table(alike, "alike"), scratch).select(F.col("node").alias("line"), F.col("component").alias("template"))
-    named = lines.select("line", "docs").join(template, "line", "left").select("line", "docs", F.coalesce("template", "line").alias("template"))
+    named = lines.select("line", "docs", "need").join(template, "line", "left").select("line", "docs", "need", F.coalesce("template", "line").alias("template"))
     # An upper bound, as a document may hold several lines of a template; the exact count follows.
-    sums = named.groupBy("template").agg(F.sum("docs").alias("s")).where(F.col("s") >= rules.min_docs)
-    held = scratch.table(named.join(sums, "template").select("line", "template"), "often")
+    sums = named.groupBy("template").agg(F.sum("docs").alias("s"), F.min("need").alias("need")).where(F.col("s") >= F.col("need")).select("template", "need")
+    held = scratch.table(named.drop("need").join(sums, "template").select("line", "template", "need"), "often")
     places = scratch.table(ids.select("doc_id", "th", "line").join(held, "line"), "places")
-    per_doc = places.groupBy("template", "doc_id", "th").agg(F.count("*").alias("k"))
-    recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(place).alias("first")).where(F.col("n") >= rules.min_docs).select("template", F.col("first.doc_id").alias("first"), F.col("first.th").alias("first_th"))
+    per_doc = places.groupBy("template", "doc_id", "th").agg(F.min("need").alias("need"))
+    recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min("need").alias("need"), F.min(place).alias("first")).where(F.col("n") >= F.col("need")).select("template", F.col("first.doc_id").alias("first"), F.col("first.th").alias("first_th"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th")))
     gone = places.join(recurring, "template").where(later).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_drop"))
     full = base.join(gone, same(gone), "left").select(base["_keep"], base["text"], "_drop")

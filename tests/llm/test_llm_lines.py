@@ -15,3 +15,10 @@ def test_short_lines_recur(spark, make_docs):
     # Two documents are not enough, and short lines that differ in a word are not alike.
     texts = ["One two three four\nYes.", "One two three five\nYes.", "One two three six"]
     assert cleaned(spark, make_docs, texts) == texts
+
+
+def test_long_lines_recur_from_two_documents_on(spark, make_docs):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    long, unspaced = " ".join(words[:51]), "版权所有不得转载本文" * 10
+    texts = [f"one here\n{long}\n{' '.join(words[:20])}\n{unspaced}", f"one there\n{long}\n{' '.join(words[:20])}\n{unspaced}"]
+    assert cleaned(spark, make_docs, texts) == [texts[0], f"one there\n{' '.join(words[:20])}"]
