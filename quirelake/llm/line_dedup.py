@@ -32,7 +32,8 @@ class LineRules:
     in ``min_docs`` documents or more is recurring, one of ``long_tokens`` tokens
     or more (two letters of a script without spaces counting as one) in
     ``long_docs``. A line of fewer than
-    ``min_tokens`` tokens is a template of its own: all its tokens lead.
+    ``min_tokens`` tokens is a template of its own: all its tokens lead. So
+    is one with too few constant tokens, by its exact tokens (``parsed``).
     """
 
     lead: int = 3
@@ -49,6 +50,19 @@ def masked(line: bytes) -> list[bytes]:
     return [ANY if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
+def parsed(line: bytes, rules: LineRules) -> tuple[list[bytes], bool]:
+    """Tokens that a line is told by, and whether it is masked: a line with digits
+    is, if half of its tokens or more are constant, one of the leading ones too.
+    Else, as in rows of numbers, all tokens count as they stand."""
+    parts = masked(line)
+    if not _DIGIT.search(line):
+        return parts, True
+    constant = [p is not ANY for p in parts]
+    if 2 * sum(constant) >= len(parts) and any(constant[: rules.lead]):
+        return parts, True
+    return line.split(), False
+
+
 def _digest(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
@@ -58,10 +72,10 @@ def _parse(text: bytes | None, rules: LineRules):
     each distinct line of a text that is not blank."""
     seen = set()
     for raw in (text or b"").split(b"\n"):
-        parts = masked(raw)
+        parts, template = parsed(raw, rules)
         if not parts:
             continue
-        lead = rules.lead if len(parts) >= rules.min_tokens else len(parts)
+        lead = rules.lead if template and len(parts) >= rules.min_tokens else len(parts)
         joined = b" ".join(parts)
         line = _digest(joined)
         if line not in seen:
@@ -156,7 +170,7 @@ def _cleaner(rules: LineRules):
                 gone = set(drop)
                 kept = []
                 for raw in lines:
-                    parts = masked(raw)
+                    parts, _ = parsed(raw, rules)
                     if not parts or _digest(b" ".join(parts)) not in gone:
                         kept.append(raw)
                 texts.append(b"\n".join(kept))
@@ -172,8 +186,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
 
     Lines are parsed by a fixed-depth tree: token count, then the leading
     tokens, tokens with digits standing for a variable field. The lines of a
-    leaf that agree in enough places share a template; short lines have a leaf
-    each, blank ones none. A template that lies in
+    leaf that agree in enough places share a template; short lines and those
+    mostly of variable fields have a leaf each, blank ones none. A template that lies in
     ``rules.min_docs`` documents or more (a long one in ``rules.long_docs``) is
     dropped everywhere but in the document of the smallest doc_id that holds it,
     where all its lines stay.

@@ -1,6 +1,12 @@
 """Lines that recur: short ones, long ones in two documents, rows of numbers."""
 
+import re
+from collections import defaultdict
+
+import brute
+
 from quirelake.llm.line_dedup import drop_recurring_lines
+from quirelake.llm.queries import QUERIES
 
 
 def cleaned(spark, make_docs, texts):
@@ -22,3 +28,49 @@ def test_long_lines_recur_from_two_documents_on(spark, make_docs):
     long, unspaced = " ".join(words[:51]), "版权所有不得转载本文" * 10
     texts = [f"one here\n{long}\n{' '.join(words[:20])}\n{unspaced}", f"one there\n{long}\n{' '.join(words[:20])}\n{unspaced}"]
     assert cleaned(spark, make_docs, texts) == [texts[0], f"one there\n{' '.join(words[:20])}"]
+
+
+def test_rows_of_numbers_are_told_by_their_exact_text(spark, make_docs):
+    rows = [[f"{d}.{k} {d * k} 3 4 5\nx {d} {k} 7 {d + k}\n{d}{k}" for k in range(3)] for d in range(4)]
+    texts = ["\n".join(r) + "\n1 2 3 4 5 6\nuser 12 logged in from host7" for r in rows]
+    tail = "\n1 2 3 4 5 6\nuser 12 logged in from host7"
+    assert cleaned(spark, make_docs, texts) == [texts[0], *(t.removesuffix(tail) for t in texts[1:])]
+    logs = [f"user {d} logged in from host{d}\nkept{chr(97 + d)}" for d in range(3)]
+    assert cleaned(spark, make_docs, logs) == [logs[0], "keptb", "keptc"]
+
+
+def whole_line_dedup(rows, lead=3, percent=80, min_docs=3, min_tokens=5, long_tokens=50, long_docs=2):
+    """rows: (doc_id, text), unique doc_id -> doc_id: text without recurring lines, of any length."""
+
+    def parse(line):
+        tokens = line.split()
+        numbers = [bool(re.search("[0-9]", t)) for t in tokens]
+        if any(numbers) and (2 * sum(numbers) > len(tokens) or all(numbers[:lead])):
+            return False, tuple(tokens)
+        return True, tuple("<*>" if n else t for t, n in zip(tokens, numbers, strict=True))
+
+    held, leaves = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        for line in (t or "").split("\n"):
+            p = parse(line)
+            if p[1]:
+                held[p].add(d)
+                if p[0] and len(p[1]) >= min_tokens:
+                    leaves[len(p[1]), p[1][:lead]].add(p)
+    links = []
+    for group in leaves.values():
+        group = sorted(group)
+        for i, p in enumerate(group):
+            links += [(p, q) for q in group[:i] if 100 * sum(x == y for x, y in zip(p[1], q[1], strict=True)) >= percent * len(p[1])]
+    template = brute.components(held, links)
+    docs = defaultdict(set)
+    for p, at in held.items():
+        docs[template[p]] |= at
+    first = {m: min(at) for m, at in docs.items() if len(at) >= (long_docs if len(m[1]) >= long_tokens else min_docs)}
+    keep = lambda d, line: not (p := parse(line))[1] or first.get(template[p], d) == d
+    return {d: t if t is None else "\n".join(x for x in t.split("\n") if keep(d, x)) for d, t in rows}
+
+
+def test_query_over_whole_table(spark, sf_dir, small_docs):
+    got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, sf_dir).collect()}
+    assert got == whole_line_dedup(small_docs)
