@@ -27,12 +27,25 @@ TEMPLATES = {
     "mpl-2": ("subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
 }
+#: The Free Software Foundation's file notices: label, wording to align with, and
+#: the version that must stand after the licence's name or, as a phrase, before it.
+NOTICES = tuple(
+    (f"gpl-{n}", text.format(n), n)
+    for n in "23"
+    for text in (
+        "under the terms of the gnu general public license as published by the free software foundation either version {} of the license",
+        "under the terms of version {} of the gnu general public license as published by the free software foundation",
+    )
+)
+#: Words after the licence's name among which a notice gives its version.
+NOTICE_WORDS = 20
+_GPL = "gnu general public license"
 #: Of a file's licence words, so many of the highest IDF are looked up at most a template.
 RARE_WORDS = 6
 #: Least share of a template's looked-up IDF that must align.
 MIN_SCORE = 0.6
 WORDS = sorted({w for text, keys in TEMPLATES.values() for w in " ".join([text, *keys]).split()} | {w for p in BASE for w in p.split()})
-_CODE = {w: i for i, w in enumerate(WORDS)}
+_CODE = {w: i for i, w in enumerate(sorted({*WORDS, *(w for _, text, _ in NOTICES for w in text.split())}))}
 
 
 def licence_hits(docs: DataFrame) -> DataFrame:
@@ -51,7 +64,7 @@ def word_weights(spark: SparkSession, hits: DataFrame) -> dict[int, float]:
     total = hits.count()
     counts = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["code"]))).alias("code")).groupBy("code").count().collect()
     found = {r["code"]: r["count"] for r in counts}
-    return {i: math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(WORDS))}
+    return {i: math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(_CODE))}
 
 
 def _phrase(phrase: str) -> Column:
@@ -75,14 +88,25 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def _alignment(label: str, weights: dict[int, float]) -> Column:
+def _versioned(version: str) -> Column:
+    """Whether a notice of the GPL gives this version: "version N" after its name
+    and publisher, or "version N of the" before the name."""
+    foundation, number = _CODE["foundation"], _CODE[version]
+    after = lambda p, h: (h["at"] > p) & (h["at"] <= p + NOTICE_WORDS)
+    named = F.filter(F.transform("hits", lambda h, i: F.struct(h["at"].alias("at"), h["code"].alias("code"), F.when(i > 0, F.get("hits", i - 1)).alias("left"))), lambda h: (h["code"] == number) & (h["left"]["code"] == _CODE["version"]) & (h["left"]["at"] == h["at"] - 1))
+    given = lambda p: F.exists(named, lambda h: after(p, h) & F.exists("hits", lambda f: (f["code"] == foundation) & after(p, f) & (f["at"] < h["at"])))
+    held = F.array_contains("codes", foundation) & F.array_contains("codes", number)
+    return F.when(held, F.exists(_phrase(_GPL), given) | (F.size(_phrase(f"version {version} of the {_GPL}")) > 0)).otherwise(False)
+
+
+def _alignment(text: str, weights: dict[int, float]) -> Column:
     """Best share of a template's rare words that stand at one shift.
 
     A posting (word, place in the template) and a hit (word, place in the file)
     vote, with the word's IDF, for the shift between the two places; the best
     shift's votes are divided by those of all looked-up words.
     """
-    words = TEMPLATES[label][0].split()
+    words = text.split()
     rare = sorted({_CODE[w] for w in words}, key=lambda c: (-weights[c], c))[:RARE_WORDS]
     postings = [(c, p) for p, w in enumerate(words) if (c := _CODE[w]) in rare]
     total = sum(weights[c] for c, _ in postings)
@@ -106,7 +130,8 @@ def scan_licences(spark: SparkSession, docs: DataFrame) -> DataFrame:
     documents; for each template the file's highest-IDF words are looked up, its
     postings intersected by relative position, and the label given if the best
     shift holds at least ``MIN_SCORE`` of the weight and one of the template's
-    mandatory phrases stands in the file. ``score`` is the best share over the
+    mandatory phrases stands in the file; for the notices of the GPL, its name and
+    the version given with it. ``score`` is the best share over the
     labels given, 1 where a base phrase stands.
 
     No shuffle but the aggregate over licence words (a fixed list). Null texts
@@ -124,10 +149,12 @@ def scan_licences(spark: SparkSession, docs: DataFrame) -> DataFrame:
         *[base[p].alias(f"_b{k}") for k, p in enumerate(BASE)],
         *[F.when(F.size("hits") >= 2, F.array_max(F.array(*[F.size(_phrase(k)) for k in keys]))).otherwise(0).alias(f"_k{n}") for n, (_, keys) in enumerate(TEMPLATES.values())],
     )
-    scored = labelled.select("*", *[F.when(F.col(f"_k{n}") > 0, _alignment(label, weights)).otherwise(0.0).alias(f"_s{n}") for n, label in enumerate(TEMPLATES)])
+    tests = [(label, text, F.col(f"_k{n}") > 0) for n, (label, (text, _)) in enumerate(TEMPLATES.items())]
+    tests += [(label, text, _versioned(version)) for label, text, version in NOTICES]
+    scored = labelled.select("*", *[F.when(held, _alignment(text, weights)).otherwise(0.0).alias(f"_s{n}") for n, (_, text, held) in enumerate(tests)])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
-    own = F.array_compact(F.array(*[F.when(F.col(f"_s{n}") >= MIN_SCORE, F.lit(label)) for n, label in enumerate(TEMPLATES)]))
-    best = F.array_max(F.array(*[F.when(F.col(f"_s{n}") >= MIN_SCORE, F.col(f"_s{n}")).otherwise(0.0) for n in range(len(TEMPLATES))]))
+    own = F.array_compact(F.array(*[F.when(F.col(f"_s{n}") >= MIN_SCORE, F.lit(label)) for n, (label, _, _) in enumerate(tests)]))
+    best = F.array_max(F.array(*[F.when(F.col(f"_s{n}") >= MIN_SCORE, F.col(f"_s{n}")).otherwise(0.0) for n in range(len(tests))]))
     return scored.select(
         "doc_id",
         "n_words",
