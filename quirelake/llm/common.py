@@ -120,18 +120,18 @@ def block_tasks(df: DataFrame, size: str, block: int, row_id: str, keys: list[st
     A group of up to ``block`` rows is one task (0, 0). A larger one is cut into
     blocks by a hash of ``row_id`` and every pair of blocks is a task (i, j), so
     all pairs of rows still meet and no task holds more than two blocks. Adds
-    the columns ``bi`` and ``bj`` and deals rows out by ``keys`` and them,
-    sorted so that groups are contiguous.
+    the columns ``bi`` and ``bj``, and ``own`` for the row's block, and deals rows
+    out by ``keys`` and the first two, sorted so that groups are contiguous.
     """
     n = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(block))).cast("int")
     own = F.pmod(F.xxhash64(F.col(row_id), F.lit(7)), F.col("_nb")).cast("int")
     spread = (
         df.withColumn("_nb", n)
-        .withColumn("_own", own)
+        .withColumn("own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-        .withColumn("bi", F.least("_own", "_other"))
-        .withColumn("bj", F.greatest("_own", "_other"))
-        .drop("_nb", "_own", "_other")
+        .withColumn("bi", F.least("own", "_other"))
+        .withColumn("bj", F.greatest("own", "_other"))
+        .drop("_nb", "_other")
     )
     by = [*keys, "bi", "bj"]
     return spread.repartition(*by).sortWithinPartitions(*by)

@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, grouped_batches, runs
+from .common import Forest, Scratch, block_tasks, bounded_broadcast, grouped_batches, runs
 from .components import connected_components
 
 COSINE = 0.98
-BLOCKS = 4
-#: Home rows, and rows to compare them with, of one task.
-TASK_ROWS = 2048
-#: Grid dimensions are added until a cell holds about so many vectors.
-CELL_ROWS = 8192
+BLOCKS = 8
+#: Rows of a cell that one slice of a task holds.
+TASK_ROWS = 32_768
+#: Pairs of rows compared at a time within a task.
+PAIRS = 1 << 20
+#: Dimensions of a block that the grid inside a task cuts.
+FINE = 5
 _SLACK = 1e-9
 
 
@@ -29,115 +31,168 @@ def rotation(dims: int) -> np.ndarray:
 
 
 class Subspaces:
-    """Blocks of the rotated space and the grid in each.
+    """Low-dimensional blocks of the rotated space, and the range join in each.
 
     Unit vectors of cosine >= c are within the squared distance 2 - 2c, so at
-    least one of B blocks of their coordinates is within (2 - 2c) / B. In each
-    block the first ``grid`` coordinates are cut into cells of four radii; a
-    vector within the radius of a cell's edge is also dealt to the cell beyond.
+    least one of B blocks of their coordinates is within (2 - 2c) / B. Rows are
+    dealt out by coarse cells, four radii wide, in the first ``grid`` dimensions
+    of a block (none of them while a label fits a task); within a task a fine
+    grid, one radius wide, in up to ``FINE`` dimensions proposes the pairs.
     """
 
     def __init__(self, dims: int, cosine: float, blocks: int, grid: int):
         self.dims, self.cosine = dims, cosine
         self.turn = rotation(dims)
         self.spans = np.array_split(np.arange(dims), min(blocks, dims))
-        self.budget = (2 - 2 * cosine) / len(self.spans) + _SLACK
+        self.budget = max(2 - 2 * cosine, 0.0) / len(self.spans) + _SLACK
         self.radius = math.sqrt(self.budget)
-        self.grid = grid
+        self.width = 4 * max(self.radius, 1e-3)
+        #: Cells a dimension that unit vectors can lie in, with one beyond each end.
+        self.cells_a_side = 2 * math.ceil(1 / self.width) + 3
+        self.grid = min(grid, int(62 / math.log2(self.cells_a_side)))
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
         return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ self.turn
 
     def cells(self, turned: np.ndarray):
-        """Yield (rows, block, cell id, home) arrays: each row once at home in every
-        block, and once in each neighbouring cell that it is near to."""
-        width = 4 * self.radius
+        """Yield (rows, block, cell, home) arrays: each row once at home in every
+        block, and once in each neighbouring cell past its own that it is near
+        to, so that rows of two cells meet in the later of the two alone. A
+        cell's number has a digit a dimension and can't wrap."""
         for b, span in enumerate(self.spans):
             at = turned[:, span[: self.grid]]
-            home = np.floor(at / width).astype(np.int64)
-            inside = at - home * width
-            low, high = inside <= self.radius, inside >= width - self.radius
+            home = np.floor(at / self.width).astype(np.int64)
+            inside = at - home * self.width
+            low, high = inside <= self.radius, inside >= self.width - self.radius
+            digits = self.cells_a_side ** np.arange(at.shape[1] - 1, -1, -1, dtype=np.int64)
+            number = (home + self.cells_a_side // 2) @ digits
             for step in product((-1, 0, 1), repeat=at.shape[1]):
+                first = next((x for x in step if x), 0)
+                if first < 0:
+                    continue
                 near = np.ones(len(at), bool)
                 for d, s in enumerate(step):
                     near &= low[:, d] if s < 0 else high[:, d] if s > 0 else True
                 rows = np.flatnonzero(near)
-                cell = np.full(len(rows), b, np.int64)
-                for d, s in enumerate(step):
-                    cell = cell * 4099 + (home[rows, d] + s + 2048)
-                yield rows, b, cell, not any(step)
-
-    def pairs(self, home: np.ndarray, near: np.ndarray, block: int):
-        """(home row, near row) pairs that are close in this block and in none
-        before it, so that every pair has one block."""
-        span = self.spans[block]
-        x, y = home[:, span], near[:, span]
-        close = (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T <= self.budget + _SLACK
-        i, j = np.nonzero(close)
-        for at in range(0, len(i), 20_000):
-            a, b = i[at : at + 20_000], j[at : at + 20_000]
-            # Summed alike whichever end is at home, so both ends agree on the block.
-            gaps = np.stack([((home[a][:, s] - near[b][:, s]) ** 2).sum(axis=1) for s in self.spans], axis=1)
-            first = np.argmax(gaps <= self.budget, axis=1)
-            own = (first == block) & (gaps[:, block] <= self.budget)
-            yield a[own], b[own]
-
-
-def _dealer(cosine: float, blocks: int, grid: int):
+                yield rows, b, number[rows] + int(np.array(step, np.int64) @ digits), first == 0
+
+    def pairs(self, turned: np.ndarray, block: int, tested: list | None = None):
+        """Yield (i, j) arrays, i != j, of each pair of rows that is close in this
+        block and in none before it, so that every pair has one block.
+
+        Rows are sorted by their fine cell; each cell meets itself and the
+        neighbours on one side. ``tested`` is told how many pairs were compared.
+        """
+        part = turned[:, self.spans[block]]
+        width = max(self.radius, 1e-3)
+        fine = np.floor(part[:, :FINE] / width).astype(np.int64) + 2048
+        digits = 4096 ** np.arange(fine.shape[1] - 1, -1, -1, dtype=np.int64)
+        order = np.argsort(fine @ digits, kind="stable")
+        cell, first, size = np.unique((fine @ digits)[order], return_index=True, return_counts=True)
+        for step in product((-1, 0, 1), repeat=fine.shape[1]):
+            lead = next((x for x in step if x), 0)
+            if lead < 0:
+                continue
+            want = cell + int(np.array(step, np.int64) @ digits)
+            at = np.minimum(np.searchsorted(cell, want), len(cell) - 1)
+            a = np.flatnonzero(cell[at] == want)
+            b = at[a]
+            for x, y in _expand(first[a], size[a], first[b], size[b]):
+                if not lead:
+                    x, y = x[x < y], y[x < y]
+                i, j = order[x], order[y]
+                if tested is not None:
+                    tested.append(len(i))
+                for d in range(part.shape[1] - 1, -1, -1):  # a dimension at a time: most pairs go early
+                    stay = np.abs(part[i, d] - part[j, d]) <= self.radius
+                    i, j = i[stay], j[stay]
+                # Summed alike whichever row comes first, so all tasks agree on the block.
+                gaps = np.stack([((turned[i][:, s] - turned[j][:, s]) ** 2).sum(axis=1) for s in self.spans[: block + 1]], axis=1)
+                own = (gaps[:, block] <= self.budget) & ~(gaps[:, :block] <= self.budget).any(axis=1)
+                if own.any():
+                    yield i[own], j[own]
+
+
+def _expand(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray):
+    """Yield all pairs of places of the runs (a, na) and (b, nb), run by run, about
+    ``PAIRS`` at a time; a run too long for that is cut."""
+    rows = np.repeat(a, na) + np.arange(na.sum()) - np.repeat(np.cumsum(na) - na, na)
+    start, many = np.repeat(b, na), np.repeat(nb, na)
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = many[at:upto]
+        total = int(n.sum())
+        yield np.repeat(rows[at:upto], n), np.repeat(start[at:upto] - np.cumsum(n) + n, n) + np.arange(total)
+        at = upto
+
+
+def _matrix(raw: list[bytes], dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dims).astype(np.float64)
+
+
+def _dealer(cosine: float, blocks: int, grid: int, with_rows: bool):
+    """Rows (label, dims, block, cell, home, vec, copies, raw), or the first four alone."""
+
     def deal(batches):
         spaces: dict[int, Subspaces] = {}
         for batch in batches:
             vec, label, copies = (batch.column(i).to_numpy() for i in range(3))
             raw = batch.column(3)
-            sizes = np.array([len(x) for x in raw.to_pylist()]) // 4
+            sizes = np.array([len(x) for x in raw.to_pylist()], np.int64) // 4
             for dims in np.unique(sizes).tolist():
                 pick = np.flatnonzero(sizes == dims)
                 space = spaces.setdefault(dims, Subspaces(dims, cosine, blocks, grid))
-                blob = raw.take(pa.array(pick))
-                own = np.frombuffer(b"".join(blob.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
+                own = _matrix(raw.take(pa.array(pick)).to_pylist(), dims)
                 for rows, b, cell, home in space.cells(space.turned(own)):
                     if len(rows):
-                        n = len(rows)
-                        at = pick[rows]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(label[at]), pa.array(np.full(n, dims, np.int64)), pa.array(np.full(n, b, np.int64)), pa.array(cell), pa.array(np.full(n, home)), pa.array(vec[at]), pa.array(copies[at]), raw.take(pa.array(at))],
-                            ["label", "dims", "block", "cell", "home", "vec", "copies", "raw"],
-                        )
+                        n, at = len(rows), pick[rows]
+                        columns = [pa.array(label[at]), pa.array(np.full(n, dims, np.int64)), pa.array(np.full(n, b, np.int64)), pa.array(cell)]
+                        if with_rows:
+                            columns += [pa.array(np.full(n, home)), pa.array(vec[at]), pa.array(copies[at]), raw.take(pa.array(at))]
+                        yield pa.RecordBatch.from_arrays(columns, ["label", "dims", "block", "cell", "home", "vec", "copies", "raw"][: len(columns)])
 
     return deal
 
 
 def _joiner(cosine: float, blocks: int, grid: int):
+    """Links of each vector, and spanning edges, of the pairs found in each task."""
+
     def join(batches):
         spaces: dict[int, Subspaces] = {}
         for batch in grouped_batches(batches, 6):
             keys = [batch.column(i).to_numpy() for i in range(6)]
-            home, vec, copies = batch.column(6).to_numpy(zero_copy_only=False), batch.column(7).to_numpy(), batch.column(8).to_numpy()
-            raw = batch.column(9).to_pylist()
+            own, home, vec, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6, 10))
+            raw = batch.column(10).to_pylist()
             bounds = runs(*keys)
             ids, linked, ea, eb = [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                dims, block = int(keys[1][a]), int(keys[2][a])
-                space = spaces.setdefault(dims, Subspaces(dims, cosine, blocks, grid))
-                full = np.frombuffer(b"".join(raw[a:b]), np.float32).reshape(-1, dims).astype(np.float64)
-                turned, norm = space.turned(full), np.linalg.norm(full, axis=1)
-                h, o = np.flatnonzero(home[a:b] == 1), np.flatnonzero(home[a:b] != 1)
-                if not len(h) or not len(o):
+                if b - a < 2:
                     continue
-                who, node = np.unique(vec[a:b], return_inverse=True)
-                count, forest = np.zeros(b - a, np.int64), Forest(len(who))
-                for x, y in space.pairs(turned[h], turned[o], block):
-                    p, q = h[x], o[y]
-                    true = (node[p] != node[q]) & ((full[p] * full[q]).sum(axis=1) / (norm[p] * norm[q]) >= cosine)
+                dims, block, across = int(keys[1][a]), int(keys[2][a]), keys[4][a] != keys[5][a]
+                space = spaces.setdefault(dims, Subspaces(dims, cosine, blocks, grid))
+                full = _matrix(raw[a:b], dims)
+                norm, part, at_home = np.linalg.norm(full, axis=1), own[a:b], home[a:b].astype(bool)
+                count, forest = np.zeros(b - a, np.int64), Forest(b - a)
+                for p, q in space.pairs(space.turned(full), block):
+                    # Of a cell's visitors, none with one another; of two slices, pairs across;
+                    # of repeated vec_ids, none, as they are one vector.
+                    meet = (at_home[p] | at_home[q]) & (vec[a + p] != vec[a + q])
+                    if across:
+                        meet &= part[p] != part[q]
+                    p, q = p[meet], q[meet]
+                    true = (full[p] * full[q]).sum(axis=1) / (norm[p] * norm[q]) >= cosine
                     p, q = p[true], q[true]
                     np.add.at(count, p, copies[a + q])
-                    forest.link(node[p], node[q])
+                    np.add.at(count, q, copies[a + p])
+                    forest.link(p, q)
                 some = np.flatnonzero(count)
                 ids += vec[a + some].tolist()
                 linked += count[some].tolist()
                 x, y = forest.edges()
-                ea += who[x].tolist()
-                eb += who[y].tolist()
+                ea += vec[a + x].tolist()
+                eb += vec[a + y].tolist()
             n, m = len(ids), len(ea)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids + ea, pa.int64()), pa.array([None] * n + eb, pa.int64()), pa.array(linked + [None] * m, pa.int64())],
@@ -151,32 +206,37 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     """vec_id, n_links, component_id and kept of ``vectors`` (vec_id, embedding, label).
 
     Vectors of one label are linked if their cosine in double precision is at
-    least ``cosine``. Vectors that are null, empty, zero or hold null or
-    non-finite components, or whose label or vec_id is null, link with nothing;
-    vectors of different lengths never link.
+    least ``cosine`` (a tie with it links). Vectors that are null, empty, zero or
+    hold null or non-finite components, or whose label or vec_id is null, link
+    with nothing; vectors of different lengths never link.
 
     Equal vectors of a label are one class with a number of copies, so masses of
-    copies cost one row a map task. Classes are rotated, cut into blocks and
-    dealt to grid cells in each block (see ``Subspaces``); within a cell, pairs
-    under the block's share of the squared distance are candidates and are
-    tested exactly. A pair counts in the first block it is close in. Cells of
-    more than ``TASK_ROWS`` rows are dealt out in pairs of blocks of rows, and
-    grid dimensions are added as the largest label grows. Tasks give numbers of
-    links and a spanning set of them, not all pairs.
+    copies cost one row a map task. Classes are rotated and cut into low
+    -dimensional blocks; each block is range-joined under its share of the
+    squared distance, and the pairs found are tested exactly in the same task
+    (see ``Subspaces``). A pair counts in the first block it is close in. A row
+    goes out once a block while the largest label fits ``TASK_ROWS``; coarse
+    grid dimensions are added as it grows, and cells of more rows are dealt out
+    in pairs of slices. Tasks give numbers of links and a spanning set of them,
+    not all pairs.
 
     Rows with one vec_id are one vector: each is returned, with the sum of links
     and the component of all. Null vec_ids are returned with no links and no
-    component, and are kept. Further columns are ignored; no rows give none.
+    component, and are kept. Further columns are ignored; no rows give none. A
+    very long vector is one row like another.
     """
     scratch = Scratch(spark, "vectors")
     read = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("e", lambda x: x != 0)
     usable = read.where("vec_id is not null and label is not null and e is not null").where(F.coalesce(finite, F.lit(False)))
+    # Adding zero makes both zeros one, so that equal vectors have equal bytes.
+    usable = usable.select("vec_id", "label", F.transform("e", lambda x: x + F.lit(0).cast("float")).alias("e"))
+    key = F.sha2(F.to_binary(F.concat_ws(",", F.transform("e", lambda x: x.cast("string"))), F.lit("utf-8")), 256)
     classes = scratch.table(usable.groupBy("label", "e").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies")), "classes")
-    members = usable.join(classes.where("copies > 1"), ["label", "e"]).select("vec_id", "vec")
-    members = scratch.table(members, "members")
+    copied = classes.where("copies > 1").select("label", key.alias("key"), "vec")
+    members = scratch.table(usable.select("vec_id", "label", key.alias("key")).join(copied, ["label", "key"]).select("vec_id", "vec"), "members")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    grid = min(8, max(2, math.ceil(math.log2(max(1, most / CELL_ROWS)))))
+    grid = 0 if most <= TASK_ROWS else min(8, math.ceil(math.log2(most / TASK_ROWS)))
 
     def pack(batches):
         for batch in batches:
@@ -184,17 +244,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([np.array(x, np.float32).tobytes() for x in lists], pa.binary())], ["vec", "label", "copies", "raw"])
 
     packed = classes.select("vec", "label", "copies", "e").mapInArrow(pack, "vec long, label long, copies long, raw binary")
-    dealt = packed.mapInArrow(_dealer(cosine, blocks, grid), "label long, dims long, block long, cell long, home boolean, vec long, copies long, raw binary")
-    dealt = scratch.table(dealt, "cells")
-    sizes = dealt.groupBy("label", "dims", "block", "cell").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("nb"), F.max("home").alias("any")).where("any")
-    sized = dealt.join(sizes, ["label", "dims", "block", "cell"])
-    own = F.pmod(F.xxhash64("vec"), F.col("nb")).cast("int")
-    # Home rows of slice i meet all rows of slice j in task (i, j).
-    each = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    homes = sized.where("home").select("*", own.alias("ti"), each.alias("tj")).withColumn("side", F.lit(1))
-    others = sized.select("*", each.alias("ti"), own.alias("tj")).withColumn("side", F.lit(0))
-    by = ["label", "dims", "block", "cell", "ti", "tj"]
-    tasks = homes.unionByName(others).select(*by, "side", "vec", "copies", "raw").repartition(*by).sortWithinPartitions(*by)
+    by = ["label", "dims", "block", "cell"]
+    counted = packed.mapInArrow(_dealer(cosine, blocks, grid, False), "label long, dims long, block long, cell long")
+    crowded = scratch.table(counted.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS), "crowded")
+    dealt = packed.mapInArrow(_dealer(cosine, blocks, grid, True), "label long, dims long, block long, cell long, home boolean, vec long, copies long, raw binary")
+    sized = dealt.join(bounded_broadcast(spark, crowded, crowded.count()), by, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    tasks = block_tasks(sized, "n", TASK_ROWS, "vec", by).select(*by, "bi", "bj", "own", "home", "vec", "copies", "raw")
     found = scratch.table(tasks.mapInArrow(_joiner(cosine, blocks, grid), "a long, b long, links long"), "found")
     counts = found.where("links is not null").groupBy(F.col("a").alias("vec")).agg(F.sum("links").alias("links"))
     edges = found.where("b is not null").select("a", "b").unionByName(members.select(F.col("vec_id").alias("a"), F.col("vec").alias("b")))

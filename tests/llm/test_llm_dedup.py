@@ -59,7 +59,7 @@ def test_vectors(spark, monkeypatch, blocks, task_rows):
     rows = [(i, v, i % 2) for i, v in enumerate(vectors)] + [(200 + i, vectors[i], i % 2) for i in range(5)]
     nan, inf = float("nan"), float("inf")
     rows += [(300, None, 0), (301, [], 0), (302, [0.0] * 16, 0), (303, [nan] * 16, 0), (304, [inf] + [1.0] * 15, 0), (305, [None] + [1.0] * 15, 0), (306, vectors[0], None), (307, vectors[0][:8], 0), (308, [3 * x for x in vectors[0]], 0)]
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<float>, label int, kept string, cell string")
+    df = spark.createDataFrame([(*r, *"abcdefghijk") for r in rows], "vec_id long, embedding array<float>, label int, kept string, cell string, vec string, e string, key string, copies string, n string, own string, bi string, links string, node string")
     got = near_vectors(spark, df, blocks=blocks).collect()
     expect = brute.near_vectors(rows)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == expect and len(got) == len(rows)
@@ -90,7 +90,23 @@ def test_pairs_within_the_distance_share_a_cell():
     for i in np.flatnonzero(near):
         gaps = [((both[i][s] - both[300 + i][s]) ** 2).sum() for s in space.spans]
         block = int(np.argmin(gaps))
-        assert gaps[block] <= space.budget and (300 + i, block, homes[i, block]) in reach and (i, block, homes[300 + i, block]) in reach
+        meet = [(300 + i, block, homes[i, block]) in reach, (i, block, homes[300 + i, block]) in reach]
+        # In one cell at home, or in the later of the two cells alone.
+        assert gaps[block] <= space.budget and sum(meet) == (2 if homes[i, block] == homes[300 + i, block] else 1)
+
+
+@pytest.mark.parametrize("dims,blocks,cosine", [(32, 4, 0.98), (7, 3, 0.9), (3, 8, 0.98), (64, 8, 0.98), (16, 1, 1.0)])
+def test_pairs_of_a_task_are_all_close_pairs_once(monkeypatch, dims, blocks, cosine):
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 97)
+    rng = np.random.default_rng(8)
+    space = Subspaces(dims, cosine, blocks, 0)
+    some = rng.standard_normal((60, dims))
+    rows = space.turned(np.concatenate([some, some + rng.standard_normal(some.shape) * 0.1, some[:9]]))
+    gaps = np.stack([((rows[:, None, s] - rows[None, :, s]) ** 2).sum(2) for s in space.spans], 2)
+    got = [(min(i, j), max(i, j)) for b in range(len(space.spans)) for x, y in space.pairs(rows, b) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    close = {(i, j) for i, j in zip(*np.nonzero((gaps <= space.budget).any(2)), strict=True) if i < j}
+    assert sorted(got) == sorted(close) and len(close) >= 9
+    assert (np.array([len(list(space.pairs(rows[:k], 0))) for k in (0, 1)]) == 0).all()
 
 
 def test_signatures_within_the_distance_share_a_key():
