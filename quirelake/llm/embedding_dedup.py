@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,8 +129,23 @@ def _expand(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray):
         at = upto
 
 
-def _matrix(raw: list[bytes], dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, dims).astype(np.float64)
+def _matrix(raw: pa.Array, dims: int) -> np.ndarray:
+    """Binary rows of ``dims`` single-precision numbers as a matrix of doubles."""
+    raw = pa.concat_arrays([raw]) if raw.offset else raw
+    at = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, raw.offset * 4)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.float32).reshape(-1, dims).astype(np.float64)
+
+
+def _packed(batches):
+    """Rows (vec, label, copies, e) with each array as its bytes."""
+    for batch in batches:
+        e = batch.column(3)
+        at = e.offsets.to_numpy().astype(np.int64)
+        values = np.ascontiguousarray(e.flatten().to_numpy(zero_copy_only=False), np.float32)
+        if 4 * len(values) >= 1 << 31:
+            raise ValueError("a batch of vectors is over 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        raw = pa.Array.from_buffers(pa.binary(), len(e), [None, pa.py_buffer(((at - at[0]) * 4).astype(np.int32)), pa.py_buffer(values)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], raw], ["vec", "label", "copies", "raw"])
 
 
 def _dealer(cosine: float, blocks: int, grid: int, with_rows: bool):
@@ -140,11 +156,11 @@ def _dealer(cosine: float, blocks: int, grid: int, with_rows: bool):
         for batch in batches:
             vec, label, copies = (batch.column(i).to_numpy() for i in range(3))
             raw = batch.column(3)
-            sizes = np.array([len(x) for x in raw.to_pylist()], np.int64) // 4
+            sizes = pc.binary_length(raw).to_numpy() // 4
             for dims in np.unique(sizes).tolist():
                 pick = np.flatnonzero(sizes == dims)
                 space = spaces.setdefault(dims, Subspaces(dims, cosine, blocks, grid))
-                own = _matrix(raw.take(pa.array(pick)).to_pylist(), dims)
+                own = _matrix(raw.take(pa.array(pick)), dims)
                 for rows, b, cell, home in space.cells(space.turned(own)):
                     if len(rows):
                         n, at = len(rows), pick[rows]
@@ -164,7 +180,7 @@ def _joiner(cosine: float, blocks: int, grid: int):
         for batch in grouped_batches(batches, 6):
             keys = [batch.column(i).to_numpy() for i in range(6)]
             own, home, vec, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6, 10))
-            raw = batch.column(10).to_pylist()
+            raw = batch.column(10)
             bounds = runs(*keys)
             ids, linked, ea, eb = [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -172,7 +188,7 @@ def _joiner(cosine: float, blocks: int, grid: int):
                     continue
                 dims, block, across = int(keys[1][a]), int(keys[2][a]), keys[4][a] != keys[5][a]
                 space = spaces.setdefault(dims, Subspaces(dims, cosine, blocks, grid))
-                full = _matrix(raw[a:b], dims)
+                full = _matrix(raw.slice(a, b - a), dims)
                 norm, part, at_home = np.linalg.norm(full, axis=1), own[a:b], home[a:b].astype(bool)
                 count, forest = np.zeros(b - a, np.int64), Forest(b - a)
                 for p, q in space.pairs(space.turned(full), block):
@@ -231,24 +247,22 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     usable = read.where("vec_id is not null and label is not null and e is not null").where(F.coalesce(finite, F.lit(False)))
     # Adding zero makes both zeros one, so that equal vectors have equal bytes.
     usable = usable.select("vec_id", "label", F.transform("e", lambda x: x + F.lit(0).cast("float")).alias("e"))
-    key = F.sha2(F.to_binary(F.concat_ws(",", F.transform("e", lambda x: x.cast("string"))), F.lit("utf-8")), 256)
+    key = F.struct(F.xxhash64("e"), F.xxhash64(F.lit(1), "e"))  # 128 bits tell arrays apart
     classes = scratch.table(usable.groupBy("label", "e").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies")), "classes")
     copied = classes.where("copies > 1").select("label", key.alias("key"), "vec")
     members = scratch.table(usable.select("vec_id", "label", key.alias("key")).join(copied, ["label", "key"]).select("vec_id", "vec"), "members")
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     grid = 0 if most <= TASK_ROWS else min(8, math.ceil(math.log2(most / TASK_ROWS)))
 
-    def pack(batches):
-        for batch in batches:
-            lists = batch.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([np.array(x, np.float32).tobytes() for x in lists], pa.binary())], ["vec", "label", "copies", "raw"])
-
-    packed = classes.select("vec", "label", "copies", "e").mapInArrow(pack, "vec long, label long, copies long, raw binary")
+    packed = classes.select("vec", "label", "copies", "e").mapInArrow(_packed, "vec long, label long, copies long, raw binary")
     by = ["label", "dims", "block", "cell"]
-    counted = packed.mapInArrow(_dealer(cosine, blocks, grid, False), "label long, dims long, block long, cell long")
-    crowded = scratch.table(counted.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS), "crowded")
     dealt = packed.mapInArrow(_dealer(cosine, blocks, grid, True), "label long, dims long, block long, cell long, home boolean, vec long, copies long, raw binary")
-    sized = dealt.join(bounded_broadcast(spark, crowded, crowded.count()), by, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    if grid:
+        counted = packed.mapInArrow(_dealer(cosine, blocks, grid, False), "label long, dims long, block long, cell long")
+        crowded = scratch.table(counted.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS), "crowded")
+        sized = dealt.join(bounded_broadcast(spark, crowded, crowded.count()), by, "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    else:
+        sized = dealt.withColumn("n", F.lit(1))
     tasks = block_tasks(sized, "n", TASK_ROWS, "vec", by).select(*by, "bi", "bj", "own", "home", "vec", "copies", "raw")
     found = scratch.table(tasks.mapInArrow(_joiner(cosine, blocks, grid), "a long, b long, links long"), "found")
     counts = found.where("links is not null").groupBy(F.col("a").alias("vec")).agg(F.sum("links").alias("links"))
