@@ -137,8 +137,10 @@ def block_tasks(df: DataFrame, size: str, block: int, row_id: str, keys: list[st
     return spread.repartition(*by).sortWithinPartitions(*by)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def splittable(df: DataFrame) -> DataFrame:
+    """An aggregate that a join is to deal out anew. Joined as it stands, it would
+    keep the partitions of its own keys, and AQE couldn't split a hot one."""
+    return df.hint("rebalance")
 
 
 def bounded_broadcast(spark: SparkSession, df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:

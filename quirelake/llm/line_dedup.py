@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, block_tasks, grouped_batches, runs
-from .components import connected_components
+from .common import Scratch, grouped_batches, runs, splittable
+from .components import connected_components, spanning_links
+from .minhash_dedup import _merge_all
 
 ANY = b"<*>"
 #: Distinct masked lines of a leaf that one block of a task holds.
@@ -119,35 +120,26 @@ def _wanted(rules: LineRules):
 
 
 def _matcher(rules: LineRules):
-    """Spanning edges of the lines of a leaf that agree in enough places.
-
-    Rows are compared with those outside their template so far, so a leaf of
-    variants of one line costs a pass or two.
-    """
+    """Spanning links of the lines of a leaf that agree in enough places."""
 
     def match(batches):
         for batch in grouped_batches(batches, 3):
-            line, raw = batch.column(3).to_numpy(), batch.column(4).to_pylist()
+            line, raw, known = batch.column(3).to_numpy(), batch.column(4).to_pylist(), batch.column(5).to_numpy()
             bounds = runs(*(batch.column(i).to_numpy() for i in range(3)))
             a_out, b_out = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
                 rows = [x.split(b" ") for x in raw[a:b]]
-                code: dict[bytes, int] = {}
-                size = len(rows[0])
-                table = np.array([[code.setdefault(t, len(code)) for t in r] for r in rows if len(r) == size], np.int32)
-                label = np.arange(len(table))
-                for i in range(len(table)):
-                    others = np.flatnonzero(label != label[i])
-                    if not len(others):
-                        break
-                    hit = others[100 * (table[others] == table[i]).sum(axis=1) >= rules.percent * size]
-                    if len(hit):
-                        joined = np.unique(label[hit])
-                        a_out += [int(line[a + i])] * len(joined)
-                        b_out += line[a + joined].tolist()
-                        label[np.isin(label, joined)] = label[i]
+                sizes = np.array([len(r) for r in rows])
+                for size in np.unique(sizes).tolist():  # one, unless hashes of leaves clash
+                    at = np.flatnonzero(sizes == size)
+                    code: dict[bytes, int] = {}
+                    table = np.array([[code.setdefault(t, len(code)) for t in rows[k]] for k in at], np.int32)
+                    own = line[a + at]
+                    for i, j in _merge_all(known[a + at], lambda i, others, table=table, size=size: 100 * (table[others] == table[i]).sum(axis=1) >= rules.percent * size):
+                        a_out.append(int(own[i]))
+                        b_out.append(int(own[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
     return match
@@ -197,8 +189,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
     2. Lines are counted with map-side combine, so a line in a third of all
        documents is one row a task. Only lines that share a leaf with another
        are read again, each from one document that holds it, and compared; a
-       leaf of more than ``LEAF_BLOCK`` distinct lines is dealt out in pairs of
-       blocks, so it is compared whole and no task holds it whole.
+       leaf of more than ``LEAF_BLOCK`` distinct lines is dealt out in blocks (see
+       ``spanning_links``), so it is compared whole and no task holds it whole.
     3. Templates are the components of agreeing lines. They are counted by
        documents, and those that recur join back to (document, line) rows alone.
     4. Texts are joined with the lines they lose.
@@ -215,23 +207,23 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, rules: LineRules
     ids = scratch.table(base.select("_doc", "_th", "text").mapInArrow(_lines(rules), "doc_id long, th long, line long, leaf long, need int"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     lines = scratch.table(ids.groupBy("line").agg(F.min("leaf").alias("leaf"), F.min("need").alias("need"), F.count("*").alias("docs"), F.min(place).alias("at")), "distinct")
-    crowd = lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = scratch.table(lines.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
+    most = crowd.agg(F.max("n")).first()[0]
     asked = lines.join(crowd, "leaf").select(F.col("at.doc_id").alias("_doc"), F.col("at.th").alias("_th"), "line", "n")
     asked = asked.groupBy("_doc", "_th").agg(F.collect_list(F.struct("line", "n")).alias("asked"))
     same = lambda x: base["_doc"].eqNullSafe(x["_doc"]) & (base["_th"] == x["_th"])
     found = base.join(asked, same(asked)).select("text", "asked").mapInArrow(_wanted(rules), "line long, leaf long, n long, tokens binary")
-    leaves = block_tasks(found, "n", LEAF_BLOCK, "line", ["leaf"])
-    alike = leaves.select("leaf", "bi", "bj", "line", "tokens").mapInArrow(_matcher(rules), "a long, b long")
-    template = connected_components(spark, scratch.table(alike, "alike"), scratch).select(F.col("node").alias("line"), F.col("component").alias("template"))
+    alike = spanning_links(spark, scratch, found, ["leaf"], "line", "tokens", "n", F.lit(1), LEAF_BLOCK, most, _matcher(rules))
+    template = connected_components(spark, alike, scratch).select(F.col("node").alias("line"), F.col("component").alias("template"))
     named = lines.select("line", "docs", "need").join(template, "line", "left").select("line", "docs", "need", F.coalesce("template", "line").alias("template"))
     # An upper bound, as a document may hold several lines of a template; the exact count follows.
     sums = named.groupBy("template").agg(F.sum("docs").alias("s"), F.min("need").alias("need")).where(F.col("s") >= F.col("need")).select("template", "need")
-    held = scratch.table(named.drop("need").join(sums, "template").select("line", "template", "need"), "often")
+    held = scratch.table(named.drop("need").join(splittable(sums), "template").select("line", "template", "need"), "often")
     places = scratch.table(ids.select("doc_id", "th", "line").join(held, "line"), "places")
     per_doc = places.groupBy("template", "doc_id", "th").agg(F.min("need").alias("need"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min("need").alias("need"), F.min(place).alias("first")).where(F.col("n") >= F.col("need")).select("template", F.col("first.doc_id").alias("first"), F.col("first.th").alias("first_th"))
     later = ~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("th") == F.col("first_th")))
-    gone = places.join(recurring, "template").where(later).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_drop"))
+    gone = places.join(splittable(recurring), "template").where(later).groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_set("line").alias("_drop"))
     full = base.join(gone, same(gone), "left").select(base["_keep"], base["text"], "_drop")
     schema = T.StructType([*full.select("_keep", "text").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     out = full.mapInArrow(_cleaner(rules), schema)

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary_rows, block_tasks, grouped_batches, runs, worker_object
-from .components import connected_components
+from .common import Scratch, binary_rows, grouped_batches, runs, splittable, worker_object
+from .components import connected_components, spanning_links
 
 #: Distinct words a worker remembers the hash of; bounds its memory only.
 WORD_MEMO = 250_000
@@ -151,16 +151,17 @@ def _keyer(spec: NearDup):
     return keys
 
 
-def _merge_all(n: int, near) -> list[tuple[int, int]]:
-    """A spanning forest of the graph on 0..n-1 whose links ``near(i, others)`` tests.
+def _merge_all(known: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links that connect rows as all links that ``near(i, others)`` tests would;
+    rows of one value of ``known`` are connected already.
 
     Each row is compared with the rows outside its component so far, so a group
     of mutual near copies costs a pass or two, and only rows that stay apart are
-    all compared with one another. Components, hence the forest, are exact.
+    all compared with one another. Components, hence the links, are exact.
     """
-    label = np.arange(n)
+    label = np.unique(known, return_inverse=True)[1]
     out = []
-    for i in range(n):
+    for i in range(len(label)):
         others = np.flatnonzero(label != label[i])
         if not len(others):
             break
@@ -184,6 +185,7 @@ def _bucket_joiner(spec: NearDup):
         for batch in grouped_batches(batches, 3):
             docs = batch.column(3).to_numpy()
             sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, spec.positions)
+            known = batch.column(5).to_numpy()
             bounds = runs(*(batch.column(i).to_numpy() for i in range(3)))
             first, size = bounds[:-1], np.diff(bounds)
             out = []
@@ -193,7 +195,7 @@ def _bucket_joiner(spec: NearDup):
                 out.extend(zip(docs[two[close]].tolist(), docs[two[close] + 1].tolist(), strict=True))
             for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 own = sigs[a : a + n]
-                for i, j in _merge_all(n, lambda i, others, own=own: (own[others] != own[i]).sum(axis=1) <= spec.distance):
+                for i, j in _merge_all(known[a : a + n], lambda i, others, own=own: (own[others] != own[i]).sum(axis=1) <= spec.distance):
                     out.append((int(docs[a + i]), int(docs[a + j])))
             yield _edges(out)
 
@@ -205,7 +207,7 @@ def _verifier(spec: NearDup):
 
     def verify(batches):
         for batch in grouped_batches(batches, 3):
-            docs = batch.column(3).to_numpy()
+            docs, known = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             bounds = runs(*(batch.column(i).to_numpy() for i in range(3)))
             out = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -232,7 +234,7 @@ def _verifier(spec: NearDup):
                     hit[able] = 100 * both >= spec.percent * (n + sizes[i] - both)
                     return hit
 
-                out.extend((int(docs[a + i]), int(docs[a + j])) for i, j in _merge_all(b - a, near))
+                out.extend((int(docs[a + i]), int(docs[a + j])) for i, j in _merge_all(known[a:b], near))
             yield _edges(out)
 
     return verify
@@ -269,10 +271,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, spec: NearDup = NearDu
        left out is a key. Keys are counted first; only rows of keys that occur
        twice or more carry signatures into buckets. A bucket gives a spanning
        forest of its pairs within the guaranteed distance, never all pairs; one
-       of more than ``BUCKET_BLOCK`` rows is dealt out in pairs of blocks.
+       of more than ``BUCKET_BLOCK`` rows is dealt out in blocks (see
+       ``spanning_links``).
     4. Components of that forest are groups of candidates. Texts of these alone
        are read again, and every pair of a group not yet connected is tested on
-       its full sets, in tasks of bounded mass (pairs of blocks for large groups).
+       its full sets, in tasks of bounded mass (blocks for large groups).
     5. Components over the links found, joined back to all documents.
 
     Null and empty texts have no shingles and are linked with nothing. Rows with
@@ -288,18 +291,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, spec: NearDup = NearDu
     keys = classes.select("doc", "sig").mapInArrow(_keyer(spec), "key long, doc long")
     keys = scratch.table(keys, "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.table(keys.join(shared, "key"), "members")
-    bucket = block_tasks(members.join(classes.select("doc", "sig"), "doc"), "n", BUCKET_BLOCK, "doc", ["key"])
-    near = scratch.table(bucket.select("key", "bi", "bj", "doc", "sig").mapInArrow(_bucket_joiner(spec), "a long, b long").distinct(), "near")
-    scratch.drop(keys, members)
+    members = scratch.table(keys.join(splittable(shared), "key"), "members")
+    most = members.agg(F.max("n")).first()[0]
+    bucket = members.join(classes.select("doc", "sig"), "doc")
+    near = spanning_links(spark, scratch, bucket, ["key"], "doc", "sig", "n", F.lit(1), BUCKET_BLOCK, most, _bucket_joiner(spec))
     groups = connected_components(spark, near, scratch)
+    scratch.drop(keys, members)
     sized = scratch.table(groups.join(classes.select(F.col("doc").alias("node"), "n_shingles", "set_hash"), "node"), "groups")
-    mass = sized.groupBy("component").agg(F.sum("n_shingles").alias("mass"))
+    mass = scratch.table(sized.groupBy("component").agg(F.sum("n_shingles").alias("mass")), "mass")
+    most = mass.agg(F.max("mass")).first()[0]
     wanted = sized.join(mass, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("g"), "set_hash", "mass")
     # A merge join at every size, so that figures at one size tell of others.
     sets = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "g", "set_hash", "mass").mapInArrow(_set_reader(spec), "g long, mass long, doc long, shingles binary")
-    tasks = block_tasks(sets, "mass", GROUP_SHINGLES, "doc", ["g"])
-    links = scratch.table(tasks.select("g", "bi", "bj", "doc", "shingles").mapInArrow(_verifier(spec), "a long, b long"), "links")
+    links = spanning_links(spark, scratch, sets, ["g"], "doc", "shingles", "mass", F.length("shingles") / 8, GROUP_SHINGLES, most, _verifier(spec))
     # Rows of a class point to its representative; those edges are links too.
     own = usable.join(classes.where("copies > 1").select("set_hash", "doc"), "set_hash").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     found = connected_components(spark, links.unionByName(own), scratch)

@@ -110,41 +110,36 @@ def licences(text):
     return len(w), len(hits), min(hits, default=None), max(hits, default=None), ",".join(sorted(labels))
 
 
-ANY = b"<*>"
-
-
-def line_dedup(rows, lead=3, percent=80, min_docs=3, min_tokens=5):
-    """rows: (doc_id, text), unique doc_id -> doc_id: text without recurring lines."""
+def line_dedup(rows, lead=3, percent=80, min_docs=3, min_tokens=5, long_tokens=50, long_docs=2):
+    """rows: (doc_id, text), unique doc_id -> doc_id: text without recurring lines, of any length."""
 
     def parse(line):
-        return tuple(ANY if re.search(rb"[0-9]", t) else t for t in line.split())
+        tokens = line.split()
+        numbers = [bool(re.search("[0-9]", t)) for t in tokens]
+        if any(numbers) and (2 * sum(numbers) > len(tokens) or all(numbers[:lead])):
+            return False, tuple(tokens)
+        return True, tuple("<*>" if n else t for t, n in zip(tokens, numbers, strict=True))
 
     held, leaves = defaultdict(set), defaultdict(set)
     for d, t in rows:
-        for line in (t or "").encode().split(b"\n"):
+        for line in (t or "").split("\n"):
             p = parse(line)
-            if len(p) >= min_tokens:
+            if p[1]:
                 held[p].add(d)
-                leaves[len(p), p[:lead]].add(p)
+                if p[0] and len(p[1]) >= min_tokens:
+                    leaves[len(p[1]), p[1][:lead]].add(p)
     links = []
     for group in leaves.values():
         group = sorted(group)
         for i, p in enumerate(group):
-            links += [(p, q) for q in group[:i] if 100 * sum(x == y for x, y in zip(p, q, strict=True)) >= percent * len(p)]
+            links += [(p, q) for q in group[:i] if 100 * sum(x == y for x, y in zip(p[1], q[1], strict=True)) >= percent * len(p[1])]
     template = components(held, links)
     docs = defaultdict(set)
     for p, at in held.items():
         docs[template[p]] |= at
-    first = {m: min(at) for m, at in docs.items() if len(at) >= min_docs}
-    out = {}
-    for d, t in rows:
-        lines = []
-        for line in (t or "").encode().split(b"\n"):
-            p = parse(line)
-            if len(p) < min_tokens or first.get(template[p], d) == d:
-                lines.append(line)
-        out[d] = t if t is None else b"\n".join(lines).decode()
-    return out
+    first = {m: min(at) for m, at in docs.items() if len(at) >= (long_docs if len(m[1]) >= long_tokens else min_docs)}
+    keep = lambda d, line: not (p := parse(line))[1] or first.get(template[p], d) == d
+    return {d: t if t is None else "\n".join(x for x in t.split("\n") if keep(d, x)) for d, t in rows}
 
 
 def redact(text, spans, mark="[SECRET]"):

@@ -4,15 +4,17 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import differences, run_sql
+from pyspark.sql import functions as F
 
 from quirelake.llm import embedding_dedup, line_dedup, minhash_dedup
-from quirelake.llm.common import Forest, Scratch
-from quirelake.llm.components import connected_components
+from quirelake.llm.common import Forest, Scratch, grouped_batches, runs
+from quirelake.llm.components import connected_components, spanning_links
 from quirelake.llm.embedding_dedup import Subspaces, near_vectors
 from quirelake.llm.line_dedup import LineRules, drop_recurring_lines
-from quirelake.llm.minhash_dedup import NearDup, Shingler, chunk_keys, near_duplicates, signature
+from quirelake.llm.minhash_dedup import NearDup, Shingler, _merge_all, chunk_keys, near_duplicates, signature
 from quirelake.llm.queries import ORACLE_SQL, QUERIES
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -34,6 +36,29 @@ def test_components_of_paths_stars_and_noise(spark):
     assert connected_components(spark, edges.limit(0), Scratch(spark, "test")).count() == 0
 
 
+@pytest.mark.parametrize("apart", [0, 30])
+def test_a_mass_of_near_copies_moves_a_few_times_its_rows(spark, apart):
+    """20,000 rows that all link, and some that link with a tenth of them, in blocks of 100."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def joiner(batches):
+        for batch in grouped_batches(batches, 3):
+            seen.add(batch.num_rows)
+            ids, kind, known = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            bounds, out = runs(*(batch.column(i).to_numpy() for i in range(3))), []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own = kind[a:b]
+                out += [(int(ids[a + i]), int(ids[a + j])) for i, j in _merge_all(known[a:b], lambda i, others, own=own: (own[others] == own[i]) | ((own[others] + own[i]) % 1000 == 7))]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    n = 20_000
+    rows = spark.range(n).selectExpr("1L AS g", "id", f"CASE WHEN id < {apart} THEN id * 2 + 10 ELSE 0 END AS kind", f"{n}L AS size").unionAll(spark.sql("SELECT 2L, 50000L, 997L, 1L"))
+    links = spanning_links(spark, Scratch(spark, "test"), rows, ["g"], "id", "kind", "size", F.lit(1), 100, n, joiner)
+    got = {r.node: r.component for r in connected_components(spark, links, Scratch(spark, "test")).collect()}
+    assert all(got[i] == apart for i in range(apart, n)) and not set(got) & set(range(apart)) and 50000 not in got
+    assert seen.value < 6 * n
+
+
 def test_forest():
     f = Forest(6)
     f.link(np.array([5, 4, 1]), np.array([4, 3, 0]))
@@ -195,8 +220,3 @@ def test_lines_of_odd_rows(spark, make_docs, odd_rows):
     assert (6, 1) in first and (None, 1) in first
     assert {r.text for r in got if r.doc_id == 1} == {None} and {r.th for r in got} == {"x"}
     assert drop_recurring_lines(spark, make_docs([])).count() == 0
-
-
-def test_query_over_whole_table(spark, sf_dir, small_docs):
-    got = {r.doc_id: r.text for r in QUERIES["op8_line_dedup"](spark, sf_dir).collect()}
-    assert got == brute.line_dedup(small_docs)
