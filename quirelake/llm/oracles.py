@@ -100,15 +100,16 @@ found AS MATERIALIZED (
   {_span_sql(2, secret_scan.BASE[2][1], "length(m) >= 16")} UNION ALL
   {_span_sql(3, secret_scan.TOKEN, "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')")}),
 valued AS (SELECT found.*, owner, CASE WHEN kind = 0 THEN regexp_replace(m, {_LEAD}, '') ELSE m END AS value FROM found JOIN d ON d.r = found.r),
-owners AS (SELECT value, count(DISTINCT owner) <= {secret_scan.MAX_OWNERS} AS live FROM valued GROUP BY value),
-judged AS (SELECT v.r, kind, start, end_, live FROM valued v JOIN owners o ON o.value = v.value),
+held AS (SELECT value, count(DISTINCT coalesce('d' || doc_id, 'r' || r)) AS repositories, count(DISTINCT owner) AS owners FROM (SELECT value, valued.owner, doc_id, valued.r FROM valued JOIN d ON d.r = valued.r) GROUP BY value),
+judged AS (SELECT v.r, kind, start, end_, owners < {secret_scan.EXAMPLE_OWNERS} AND repositories < {secret_scan.EXAMPLE_REPOSITORIES} AS live, repositories, owners FROM valued v JOIN held o ON o.value = v.value),
 counts AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM judged GROUP BY r),
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(repositories) AS repositories, max(owners) AS owners FROM judged GROUP BY r),
 base AS (SELECT r, {_SPELL} AS spelt FROM judged WHERE kind < 3 GROUP BY r),
 chosen AS (SELECT r, {_SPELL} AS spelt FROM judged j WHERE kind < 3 OR (live AND NOT EXISTS (
   SELECT 1 FROM judged b WHERE b.r = j.r AND b.kind < 3 AND b.start < j.end_ AND j.start < b.end_)) GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base.spelt, '')) AS base_sha256, coalesce(chosen.spelt, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  sha256(coalesce(base.spelt, '')) AS base_sha256, coalesce(chosen.spelt, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+  CAST(coalesce(repositories, 0) AS BIGINT) AS repositories, coalesce(owners, 0) AS owners
 FROM d LEFT JOIN counts ON counts.r = d.r LEFT JOIN base ON base.r = d.r LEFT JOIN chosen ON chosen.r = d.r
 """
 
