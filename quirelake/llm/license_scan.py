@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -12,113 +12,146 @@ from .common import Scratch
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Licence wordings to align with, and the phrases of which one must stand there.
-TEMPLATES = {
-    "agpl-3": ("gnu affero general public license version 3", ("affero general public license",)),
-    "apache-2": ("licensed under the apache license version 2 0", ("apache license version 2",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
-    "cc-by": ("licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    "cc-by-nc": ("creative commons attribution noncommercial 4 0 international", ("attribution noncommercial", "cc by nc")),
-    "gpl-2": ("licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    "gpl-3": ("this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee", ("permission to use copy modify and or distribute",)),
-    "lgpl": ("gnu lesser general public license version", ("lesser general public license",)),
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted free of charge",)),
-    "mpl-2": ("subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("free and unencumbered software released into the public domain",)),
-}
-#: The Free Software Foundation's file notices: label, wording to align with, and
-#: the version that must stand after the licence's name or, as a phrase, before it.
-NOTICES = tuple(
-    (f"gpl-{n}", text.format(n), n)
-    for n in "23"
-    for text in (
-        "under the terms of the gnu general public license as published by the free software foundation either version {} of the license",
-        "under the terms of version {} of the gnu general public license as published by the free software foundation",
-    )
+_GPL = "gnu general public license (v|version |as published by the free software foundation (either )?version )"
+#: Licence texts and the notices that files carry, as words, and the
+#: key phrase (a pattern over words) that must stand in the aligned place.
+TEMPLATES = (
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "permission is hereby granted free of charge ",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "permission to use copy modify and or distribute ",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "redistribution and use in source and binary forms ",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "free and unencumbered software released into the public domain ",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "to alter it and redistribute it freely ",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
+        "apache license version 2 ",
+    ),
+    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2 "),
+    ("agpl-3", "gnu affero general public license as published by the free software foundation", "affero general public license "),
+    ("agpl-3", "gnu affero general public license version 3", "affero general public license "),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution "),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international", "attribution noncommercial |cc by nc "),
+    *((f"gpl-{n}", f"licensed under the gnu general public license version {n}", f"{_GPL}{n} ") for n in "23"),
+    *((f"gpl-{n}", f"under the terms of the gnu general public license as published by the free software foundation either version {n} of the license", f"{_GPL}{n} ") for n in "23"),
+    *((f"gpl-{n}", f"under the terms of version {n} of the gnu general public license as published by the free software foundation", f"version {n} of the gnu general public license ") for n in "23"),
+    ("lgpl", "gnu lesser general public license version", "lesser general public license "),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "lesser general public license "),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license "),
+    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license "),
+)
+#: Words too common anywhere to be looked up.
+COMMON = frozenset(
+    "a above all an and any anyone appear applicable are as at be but by can code conditions copies copy deal do else either event except file files following for form forms free freely from http if in is it kind law list may met must no non not notice of on one or org other person persons provided required rights sell shall so source subject terms that the this to under use used version warranties warranty was whom will with work writing www you your 0 2 3 4 v".split()
 )
-#: Words after the licence's name among which a notice gives its version.
-NOTICE_WORDS = 20
-_GPL = "gnu general public license"
-#: Of a file's licence words, so many of the highest IDF are looked up at most a template.
-RARE_WORDS = 6
-#: Least share of a template's looked-up IDF that must align.
+#: Of a file's licence words, those of the highest IDF that are looked up in a template.
+RARE_WORDS = 8
+#: Least share of the IDF of a template's rarest words that must align at one shift.
 MIN_SCORE = 0.6
-WORDS = sorted({w for text, keys in TEMPLATES.values() for w in " ".join([text, *keys]).split()} | {w for p in BASE for w in p.split()})
-_CODE = {w: i for i, w in enumerate(sorted({*WORDS, *(w for _, text, _ in NOTICES for w in text.split())}))}
+#: Words on each side of an anchor that are kept to verify a key phrase in.
+NEAR_WORDS = 14
+#: Words, one of which lies in any key phrase: a phrase is verified around them.
+ANCHORS = ("hereby", "distribute", "redistribution", "unencumbered", "redistribute", "apache", "affero", "attribution", "nc", "gnu", "lesser", "mozilla")
+#: Rare licence words, numbered, and the places of each in the templates.
+WORDS = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON)
+POSTINGS = [(t, place, WORDS.index(w)) for t, (_, text, _) in enumerate(TEMPLATES) for place, w in enumerate(text.split()) if w not in COMMON]
+
+
+def _places(phrase: str, held: Column) -> Column:
+    """Starts of the places in ``_w`` where a phrase's words stand one after another;
+    looked for only in texts of which ``held``."""
+    words = phrase.split()
+    at = F.filter(F.sequence(F.lit(0), F.size("_w") - len(words)), lambda i: _all([F.get("_w", i + k) == w for k, w in enumerate(words)]))
+    return F.when((F.size("_w") >= len(words)) & held, at).otherwise(F.array().cast("array<int>"))
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
 
 
 def licence_hits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and ``hits``: (place, word code) of all licence words of
-    each whole text, in order."""
+    """doc_id, n_words, ``base_k`` (starts of each base phrase), ``hits`` (place and
+    number of each rare licence word) and ``anchors`` (place, words around) of each
+    whole text. No word of COMMON is in it, so it is narrow."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select("doc_id", F.filter(F.split(lower, _GAP), lambda w: w != "").alias("_w"))
-    codes = F.create_map(*[x for w, i in _CODE.items() for x in (F.lit(w), F.lit(i))])
-    known = words.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("at"), codes[w].alias("code"))), lambda h: h["code"].isNotNull()).alias("hits"))
-    return known
+    split = docs.select("doc_id", lower.alias("_t")).select("doc_id", "_t", F.filter(F.split("_t", _GAP), lambda w: w != "").alias("_w"))
+    codes = F.create_map(*[x for i, w in enumerate(WORDS) for x in (F.lit(w), F.lit(i))])
+    hits = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("at"), codes[w].alias("code"))), lambda h: h["code"].isNotNull())
+    around = lambda h: F.struct(h["at"].alias("at"), F.concat(F.lit(" "), F.array_join(F.slice("_w", F.greatest(h["at"] - NEAR_WORDS, F.lit(0)) + 1, 2 * NEAR_WORDS + 1), " "), F.lit(" ")).alias("near"))
+    anchor = [WORDS.index(w) for w in ANCHORS if w in WORDS]
+    known = split.select(
+        "doc_id",
+        F.size("_w").cast("long").alias("n_words"),
+        *[_places(p, F.col("_t").rlike(_GAP.join(p.split()))).alias(f"base_{k}") for k, p in enumerate(BASE)],
+        "_w",
+        hits.alias("hits"),
+    )
+    return known.withColumn("anchors", F.transform(F.filter("hits", lambda h: h["code"].isin(anchor)), around)).drop("_w")
 
 
-def word_weights(spark: SparkSession, hits: DataFrame) -> dict[int, float]:
-    """IDF of every licence word over all documents; as many rows as licence words."""
+def word_weights(hits: DataFrame) -> dict[int, float]:
+    """IDF of every rare licence word over all documents; as many rows as such words."""
     total = hits.count()
     counts = hits.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["code"]))).alias("code")).groupBy("code").count().collect()
     found = {r["code"]: r["count"] for r in counts}
-    return {i: math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(_CODE))}
+    return {i: math.log((1 + total) / (1 + found.get(i, 0))) + 1 for i in range(len(WORDS))}
 
 
-def _phrase(phrase: str) -> Column:
-    """Starts of the places where a phrase's words stand one after another.
-
-    Licence words of a run are neighbours in ``hits``, so a place is a slice of
-    it whose codes are the phrase's and whose places count up by one.
-    """
-    codes = [_CODE[w] for w in phrase.split()]
-    n = len(codes)
-    slots = F.filter(F.sequence(F.lit(0), F.size("hits") - n), lambda i: _all([(F.get("hits", i + k)["code"] == c) & (F.get("hits", i + k)["at"] == F.get("hits", i)["at"] + k) for k, c in enumerate(codes)]))
-    empty = F.array().cast("array<int>")
-    held = _all([F.array_contains("codes", c) for c in sorted(set(codes))])
-    return F.when(held & (F.size("hits") >= n), F.transform(slots, lambda i: F.get("hits", i)["at"])).otherwise(empty)
-
-
-def _all(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t
+def _rank(weights: dict[int, float]) -> list[tuple]:
+    """Postings (template, place, word, rank, idf): a template's rare words ranked
+    by IDF, ties by the word."""
+    out = []
+    for t in range(len(TEMPLATES)):
+        own = [(place, code) for x, place, code in POSTINGS if x == t]
+        order = {c: k for k, c in enumerate(sorted({c for _, c in own}, key=lambda c: (-weights[c], c)))}
+        out += [(t, place, code, order[code], weights[code]) for place, code in own]
     return out
 
 
-def _versioned(version: str) -> Column:
-    """Whether a notice of the GPL gives this version: "version N" after its name
-    and publisher, or "version N of the" before the name."""
-    foundation, number = _CODE["foundation"], _CODE[version]
-    after = lambda p, h: (h["at"] > p) & (h["at"] <= p + NOTICE_WORDS)
-    named = F.filter(F.transform("hits", lambda h, i: F.struct(h["at"].alias("at"), h["code"].alias("code"), F.when(i > 0, F.get("hits", i - 1)).alias("left"))), lambda h: (h["code"] == number) & (h["left"]["code"] == _CODE["version"]) & (h["left"]["at"] == h["at"] - 1))
-    given = lambda p: F.exists(named, lambda h: after(p, h) & F.exists("hits", lambda f: (f["code"] == foundation) & after(p, f) & (f["at"] < h["at"])))
-    held = F.array_contains("codes", foundation) & F.array_contains("codes", number)
-    return F.when(held, F.exists(_phrase(_GPL), given) | (F.size(_phrase(f"version {version} of the {_GPL}")) > 0)).otherwise(False)
-
-
-def _alignment(text: str, weights: dict[int, float]) -> Column:
-    """Best share of a template's rare words that stand at one shift.
+def licence_candidates(spark: SparkSession, hits: DataFrame, weights: dict[int, float]) -> DataFrame:
+    """(row, template, shift, share) of the templates whose rare words align in a file.
 
-    A posting (word, place in the template) and a hit (word, place in the file)
-    vote, with the word's IDF, for the shift between the two places; the best
-    shift's votes are divided by those of all looked-up words.
+    Hits meet the postings of their word (a fixed list). Of a file's words in a
+    template those of the ``RARE_WORDS`` highest IDF are looked up; each votes, with
+    its IDF, for the shift between its places in file and template, once a shift.
+    The best shift's share is that of the IDF of the template's ``RARE_WORDS``
+    rarest words; of equal shifts the first counts. No phrase is read here.
     """
-    words = text.split()
-    rare = sorted({_CODE[w] for w in words}, key=lambda c: (-weights[c], c))[:RARE_WORDS]
-    postings = [(c, p) for p, w in enumerate(words) if (c := _CODE[w]) in rare]
-    total = sum(weights[c] for c, _ in postings)
-
-    def posting(code: int, place: int) -> Column:
-        here = F.filter("hits", lambda h: h["code"] == code)
-        return F.transform(here, lambda h: F.struct((h["at"] - place).alias("shift"), F.lit(weights[code]).alias("idf")))
-
-    votes = F.flatten(F.array(*[posting(c, p) for c, p in postings]))
-    shifts = F.array_distinct(F.transform(votes, lambda v: v["shift"]))
-    best = F.array_max(F.transform(shifts, lambda s: F.aggregate(F.filter(votes, lambda v: v["shift"] == s), F.lit(0.0), lambda a, v: a + v["idf"])))
-    return F.coalesce(best / F.lit(total), F.lit(0.0))
+    ranked = _rank(weights)
+    full = {t: sum(sorted({c: w for x, _, c, _, w in ranked if x == t}.values(), reverse=True)[:RARE_WORDS]) for t in range(len(TEMPLATES))}
+    postings = spark.createDataFrame(ranked, "template int, place int, code int, rank int, idf double")
+    totals = F.create_map(*[x for t, w in full.items() for x in (F.lit(t), F.lit(w))])
+    each = hits.where(F.size("hits") >= 2).select("row", F.explode("hits").alias("h")).select("row", "h.at", "h.code")
+    votes = each.join(F.broadcast(postings), "code").select("row", "template", (F.col("at") - F.col("place")).alias("shift"), "rank", "idf")
+    votes = votes.repartition("row", "template").groupBy("row", "template", "shift", "rank").agg(F.first("idf").alias("idf"))
+    looked = votes.withColumn("k", F.dense_rank().over(Window.partitionBy("row", "template").orderBy("rank"))).where(F.col("k") <= RARE_WORDS)
+    shifts = looked.groupBy("row", "template", "shift").agg(F.round(F.sum("idf"), 9).alias("v"))
+    best = shifts.groupBy("row", "template").agg(F.max(F.struct("v", (-F.col("shift")).alias("s"))).alias("b"))
+    share = F.least(F.col("b.v") / totals[F.col("template")], F.lit(1.0))
+    return best.select("row", "template", (-F.col("b.s")).alias("shift"), share.alias("share")).where(F.col("share") >= MIN_SCORE)
 
 
 def scan_licences(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -126,42 +159,39 @@ def scan_licences(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_words, ``base`` (starts of all base phrases), base_labels,
     labels (arrays, sorted) and score. The texts are read once, into a narrow
-    table of the places of licence words. Their IDF is counted over all
-    documents; for each template the file's highest-IDF words are looked up, its
-    postings intersected by relative position, and the label given if the best
-    shift holds at least ``MIN_SCORE`` of the weight and one of the template's
-    mandatory phrases stands in the file; for the notices of the GPL, its name and
-    the version given with it. ``score`` is the best share over the
-    labels given, 1 where a base phrase stands.
-
-    No shuffle but the aggregate over licence words (a fixed list). Null texts
-    are empty (no words, no labels), null doc_ids and repeated rows are scanned
-    each for itself, further columns are ignored, and no rows give none.
+    table of the places of rare licence words. Their IDF is counted over all
+    documents; a file's words of the highest IDF are looked up in the index of
+    the templates and intersected by relative position (``licence_candidates``).
+    Last, for the candidates alone, the template's key phrase must stand around a
+    word near the aligned place. ``score`` is the best share over the labels
+    given, 1 where a base phrase stands.
+
+    Only votes and candidates are shuffled, not texts. Null texts are empty (no
+    words, no labels), null doc_ids and repeated rows are scanned each for itself
+    (rows are told apart by their place in the written table), further columns
+    are ignored, and no rows give none. A very long text is held whole by the
+    task that splits it; its hits are rows. Words of equal IDF are ranked by
+    their spelling.
     """
     scratch = Scratch(spark, "licences")
-    hits = scratch.table(licence_hits(docs), "hits")
-    weights = word_weights(spark, hits)
+    hits = scratch.table(licence_hits(docs).withColumn("row", F.monotonically_increasing_id()), "hits")
+    found = scratch.table(licence_candidates(spark, hits, word_weights(hits)), "candidates")
+    length = F.create_map(*[x for t, (_, text, _) in enumerate(TEMPLATES) for x in (F.lit(t), F.lit(len(text.split())))])
+    near = F.filter("anchors", lambda a: (a["at"] >= F.col("shift") - NEAR_WORDS) & (a["at"] <= F.col("shift") + length[F.col("template")] + NEAR_WORDS))
+    key = lambda x: F.coalesce(*[F.when(F.col("template") == t, x.rlike(f" ({key})")) for t, (_, _, key) in enumerate(TEMPLATES)])
+    label = F.create_map(*[x for t, (name, _, _) in enumerate(TEMPLATES) for x in (F.lit(t), F.lit(name))])
+    held = found.join(hits.select("row", "anchors").where(F.size("anchors") > 0), "row").where(F.exists(near, lambda a: key(a["near"])))
+    own = held.groupBy("row").agg(F.collect_set(label[F.col("template")]).alias("own"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
-    base = {p: _phrase(p) for p in BASE}
-    coded = hits.select("*", F.array_distinct(F.transform("hits", lambda h: h["code"])).alias("codes"))
-    labelled = coded.select(
-        "*",
-        *[base[p].alias(f"_b{k}") for k, p in enumerate(BASE)],
-        *[F.when(F.size("hits") >= 2, F.array_max(F.array(*[F.size(_phrase(k)) for k in keys]))).otherwise(0).alias(f"_k{n}") for n, (_, keys) in enumerate(TEMPLATES.values())],
-    )
-    tests = [(label, text, F.col(f"_k{n}") > 0) for n, (label, (text, _)) in enumerate(TEMPLATES.items())]
-    tests += [(label, text, _versioned(version)) for label, text, version in NOTICES]
-    scored = labelled.select("*", *[F.when(held, _alignment(text, weights)).otherwise(0.0).alias(f"_s{n}") for n, (_, text, held) in enumerate(tests)])
-    base_labels = F.array_compact(F.array(*[F.when(F.size(f"_b{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]))
-    own = F.array_compact(F.array(*[F.when(F.col(f"_s{n}") >= MIN_SCORE, F.lit(label)) for n, (label, _, _) in enumerate(tests)]))
-    best = F.array_max(F.array(*[F.when(F.col(f"_s{n}") >= MIN_SCORE, F.col(f"_s{n}")).otherwise(0.0) for n in range(len(tests))]))
-    return scored.select(
+    base_labels = F.array_compact(F.array(*[F.when(F.size(f"base_{k}") > 0, F.lit(name)) for k, name in enumerate(BASE.values())]))
+    out = hits.select("row", "doc_id", "n_words", *[f"base_{k}" for k in range(len(BASE))]).join(own, "row", "left")
+    return out.select(
         "doc_id",
         "n_words",
-        F.sort_array(F.flatten(F.array(*[F.col(f"_b{k}") for k in range(len(BASE))]))).alias("base"),
+        F.sort_array(F.flatten(F.array(*[F.col(f"base_{k}") for k in range(len(BASE))]))).alias("base"),
         F.sort_array(F.array_distinct(F.coalesce(base_labels, none))).alias("base_labels"),
-        F.sort_array(F.array_distinct(F.concat(base_labels, own))).alias("labels"),
-        F.when(F.size(base_labels) > 0, 1.0).otherwise(F.least(best, F.lit(1.0))).alias("score"),
+        F.sort_array(F.array_distinct(F.concat(base_labels, F.coalesce("own", none)))).alias("labels"),
+        F.when(F.size(base_labels) > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
 
 

@@ -119,9 +119,11 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, row)) + ")" for row in rows) + ")"
 
 
-_VOCABULARY = _values([(w,) for w in license_scan.WORDS])
-_POSTINGS = _values([(label, place, w) for label, (text, _) in license_scan.TEMPLATES.items() for place, w in enumerate(text.split())])
-_KEYS = _values([(label, key) for label, (_, keys) in license_scan.TEMPLATES.items() for key in keys])
+_VOCABULARY = _values(list(enumerate(license_scan.WORDS)))
+_POSTINGS = _values(license_scan.POSTINGS)
+_KEYS = _values([(t, name, len(text.split()), f" ({key})") for t, (name, text, key) in enumerate(license_scan.TEMPLATES)])
+_ANCHORS = ", ".join(str(license_scan.WORDS.index(w)) for w in license_scan.ANCHORS if w in license_scan.WORDS)
+_NEAR = license_scan.NEAR_WORDS
 
 
 def _places(phrase: str) -> str:
@@ -133,27 +135,26 @@ def _places(phrase: str) -> str:
 _BASE_PLACES = ", ".join(_places(p) for p in license_scan.BASE)
 _BASE_LABELS = ", ".join(f"CASE WHEN len({_places(p)}) > 0 THEN {_quoted(label)} END" for p, label in license_scan.BASE.items())
 
-#: Base phrases, and templates whose rare words align at one shift.
+#: Base phrases, and templates whose rare words align at one shift with their key phrase near.
 OP9 = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-hits AS MATERIALIZED (SELECT r, x, i - 1 AS pos FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t) JOIN {_VOCABULARY} v(x) USING (x)),
+hits AS MATERIALIZED (SELECT r, code, i - 1 AS pos FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t) JOIN {_VOCABULARY} v(code, x) USING (x)),
 total AS (SELECT count(*) AS n FROM t),
-df AS (SELECT x, count(DISTINCT r) AS n FROM hits GROUP BY x),
-idf AS (SELECT v.x, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM {_VOCABULARY} v(x) CROSS JOIN total LEFT JOIN df ON df.x = v.x),
-posts AS (SELECT label, place, p.x, idf FROM {_POSTINGS} p(label, place, x) JOIN idf ON idf.x = p.x),
-rare AS (SELECT label, x FROM (SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY idf DESC, x) AS k FROM (SELECT DISTINCT label, x, idf FROM posts)) WHERE k <= {license_scan.RARE_WORDS}),
-looked AS (SELECT p.* FROM posts p JOIN rare USING (label, x)),
-full_ AS (SELECT label, sum(idf) AS total FROM looked GROUP BY label),
-votes AS (SELECT r, label, pos - place AS shift, sum(idf) AS v FROM hits JOIN looked USING (x) GROUP BY ALL),
-best AS (SELECT r, label, max(v) / any_value(total) AS share FROM votes JOIN full_ USING (label) GROUP BY r, label),
-joined AS (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t WHERE r IN (SELECT r FROM best)),
-own AS (SELECT best.r, best.label, share FROM best JOIN joined ON joined.r = best.r
-  WHERE share >= {license_scan.MIN_SCORE} AND EXISTS (SELECT 1 FROM {_KEYS} k(label, key) WHERE k.label = best.label AND contains(joined.s, ' ' || key || ' '))),
-mine AS (SELECT r, list(label) AS labels, max(share) AS share FROM own GROUP BY r),
+df AS (SELECT code, count(DISTINCT r) AS n FROM hits GROUP BY code),
+idf AS (SELECT v.code, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM {_VOCABULARY} v(code, x) CROSS JOIN total LEFT JOIN df ON df.code = v.code),
+posts AS (SELECT template, place, p.code, idf, dense_rank() OVER (PARTITION BY template ORDER BY idf DESC, p.code) AS rank FROM {_POSTINGS} p(template, place, code) JOIN idf ON idf.code = p.code),
+full_ AS (SELECT template, sum(idf) AS total FROM (SELECT DISTINCT template, code, idf FROM posts WHERE rank <= {license_scan.RARE_WORDS}) GROUP BY template),
+votes AS (SELECT DISTINCT r, template, pos - place AS shift, rank, idf FROM hits JOIN posts USING (code)),
+looked AS (SELECT *, dense_rank() OVER (PARTITION BY r, template ORDER BY rank) AS k FROM votes),
+shifts AS (SELECT r, template, shift, round(sum(idf), 9) AS v FROM looked WHERE k <= {license_scan.RARE_WORDS} GROUP BY ALL),
+best AS (SELECT r, template, shift, least(v / total, 1) AS share FROM (SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY v DESC, shift) AS k FROM shifts) JOIN full_ USING (template) WHERE k = 1),
+near AS (SELECT t.r, pos, ' ' || array_to_string(list_slice(w, greatest(pos - {_NEAR}, 0) + 1, greatest(pos - {_NEAR}, 0) + {2 * _NEAR + 1}), ' ') || ' ' AS words FROM hits JOIN t ON t.r = hits.r WHERE code IN ({_ANCHORS})),
+mine AS (SELECT b.r, list(DISTINCT k.label) AS labels, max(share) AS share FROM best b JOIN {_KEYS} k(template, label, size, key) USING (template)
+  WHERE share >= {license_scan.MIN_SCORE} AND EXISTS (SELECT 1 FROM near n WHERE n.r = b.r AND n.pos >= shift - {_NEAR} AND n.pos <= shift + size + {_NEAR} AND regexp_matches(n.words, k.key)) GROUP BY b.r),
 base AS (SELECT r, doc_id, len(w) AS n_words, list_sort(flatten([{_BASE_PLACES}])) AS places, list_sort(list_distinct(list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL))) AS labels FROM t)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
   array_to_string(base.labels, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base.labels, coalesce(mine.labels, [])))), ',') AS labels,
-  round(CASE WHEN len(base.labels) > 0 THEN 1.0::DOUBLE ELSE least(coalesce(share, 0.0::DOUBLE), 1.0::DOUBLE) END, 9) AS score
+  round(CASE WHEN len(base.labels) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END, 9) AS score
 FROM base LEFT JOIN mine ON mine.r = base.r
 """
 

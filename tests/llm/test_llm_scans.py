@@ -5,8 +5,9 @@ from collections import Counter
 import brute
 import pytest
 from compare import differences, run_sql
+from pyspark.sql import functions as F
 
-from quirelake.llm.license_scan import TEMPLATES, scan_licences
+from quirelake.llm.license_scan import COMMON, TEMPLATES, licence_candidates, licence_hits, scan_licences, word_weights
 from quirelake.llm.quality_rules import judge_documents
 from quirelake.llm.queries import ORACLE_SQL, QUERIES
 from quirelake.llm.secret_scan import digest, redact_secrets, scan_secrets
@@ -99,11 +100,25 @@ def test_redaction_joins_overlapping_spans(spark, make_docs):
     assert row.text == brute.redact(text, [(0, 31), (7, 31)]) == "[SECRET], é secret=short"
 
 
-def test_templates_align_with_gaps_and_need_their_phrase(spark, make_docs):
+def test_templates_align_and_need_their_phrase(spark, make_docs):
     filler = " ".join(f"filler{i}" for i in range(50))
-    rows = [(i, f"{filler} {text.title()} {filler}", "s") for i, (text, _) in enumerate(TEMPLATES.values())]
-    rows += [(100, f"{filler} permission charge obtaining software copy {filler}", "s"), (101, filler, "s")]
-    got = {r.doc_id: r for r in scan_licences(spark, make_docs(rows)).collect()}
-    for i, label in enumerate(TEMPLATES):
-        assert label in got[i].labels and got[i].score > 0.9, label
-    assert got[100].labels == got[101].labels == [] and got[100].score == 0
+    rows = [(i, f"{filler} {text.title()} {filler}", "s") for i, (_, text, _) in enumerate(TEMPLATES)]
+    # All rare words of a wording at their places, but its key phrase broken: a candidate without a label.
+    broken = {f"the {i}": text for i, (_, text, _) in enumerate(TEMPLATES[:5])}
+    rows += [(100 + i, f"{filler} {' '.join(w if w not in COMMON else 'xx' for w in text.split())} {filler}", "s") for i, text in enumerate(broken.values())]
+    rows += [(200, f"{filler} permission charge obtaining software copy {filler}", "s"), (201, filler, "s"), (202, f"{filler} {TEMPLATES[0][1]} {filler} {TEMPLATES[2][1]}", "s")]
+    docs = make_docs(rows)
+    hits = licence_hits(docs).withColumn("row", F.monotonically_increasing_id()).cache()
+    candidates = {(r.doc_id, r.template) for r in hits.join(licence_candidates(spark, hits, word_weights(hits)), "row").select("doc_id", "template").collect()}
+    got = {r.doc_id: r for r in scan_licences(spark, docs).collect()}
+    for i, (label, _, _) in enumerate(TEMPLATES):
+        assert (i, i) in candidates and label in got[i].labels and got[i].score > 0.9, label
+    for i in range(len(broken)):
+        assert (100 + i, i) in candidates and TEMPLATES[i][0] not in got[100 + i].labels
+    assert got[200].labels == got[201].labels == [] and got[201].score == 0 and {"bsd", "mit"} <= set(got[202].labels)
+
+
+def test_rare_words_are_a_small_part_of_a_text(spark, sf_dir):
+    hits = licence_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    (row,) = hits.selectExpr("sum(size(hits)) AS n", "sum(n_words) AS of").collect()
+    assert row.n < 0.01 * row.of
