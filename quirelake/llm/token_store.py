@@ -20,22 +20,27 @@ END_ID = 2
 SHARD_IDS = 2_000_000
 #: Bytes of the input's files that one range of documents holds, about.
 RANGE_BYTES = 12 << 20
-_HEAD = struct.Struct("<4sHHQ")
-_STEP = 512
+_HEAD = struct.Struct("<4sHHQI")
+#: Bytes of a bit-plane that are compressed together and have a rank sample each.
+BLOCK = 4096
 
 
 class WaveletMatrix:
     """Succinct sequence of ids: one bit-plane a binary digit, highest first.
 
     Each plane holds the current digit of the ids in the order that the higher
-    digits have sorted them into (stably, zeros first). A directory of one-bits
-    every 512 positions makes ``rank`` one look-up and a count within a block.
-    ``access``, ``count`` and ``find`` each walk the planes once.
+    digits have sorted them into (stably, zeros first). A plane is kept in
+    blocks, with the number of one-bits before each (the rank samples). Both are
+    in the file: ``rank`` reads a sample and one block, ``select`` finds its block
+    among the samples and reads that one. So ``access``, ``count`` and ``find``
+    walk the planes once and, on a matrix read from a file, undo the compression
+    of two blocks a plane at most, not of the shard.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, zeros: list[int], samples: list[np.ndarray], block):
+        self.n, self.zeros, self.samples = n, zeros, samples
+        #: Gives the bytes of block k of a plane.
+        self.block = block
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -49,14 +54,22 @@ class WaveletMatrix:
             low = now[~ones]
             zeros.append(len(low))
             now = np.concatenate([low, now[ones]])
-        return cls(len(ids), planes, zeros)
+        samples = []
+        for plane in planes:
+            counts = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), BLOCK)) if len(plane) else np.zeros(0, np.int64)
+            samples.append(np.concatenate([[0], np.cumsum(counts)]).astype(np.int64))
+        return cls(len(ids), zeros, samples, lambda level, k: planes[level][k * BLOCK : (k + 1) * BLOCK])
+
+    def _plane(self, level: int) -> np.ndarray:
+        parts = [self.block(level, k) for k in range(len(self.samples[level]) - 1)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing each plane's partition from the lowest digit up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
         now = np.zeros(self.n, kind)
-        for digit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+        for digit, zeros in enumerate(reversed(self.zeros)):
+            ones = np.unpackbits(self._plane(len(self.zeros) - 1 - digit), count=self.n, bitorder="little").view(bool)
             before = np.empty(self.n, kind)
             before[~ones] = now[:zeros]
             before[ones] = now[zeros:] | kind(1 << digit)
@@ -65,21 +78,18 @@ class WaveletMatrix:
 
     def _rank(self, level: int, at: int) -> int:
         """One-bits of a plane before position ``at``."""
-        if self._ranks is None:
-            step = _STEP // 8
-            self._ranks = []
-            for plane in self.planes:
-                counts = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), step)) if len(plane) else np.zeros(0, np.int64)
-                self._ranks.append(np.concatenate([[0], np.cumsum(counts)]))
-        block = at // _STEP
-        ones = int(self._ranks[level][block])
-        raw = self.planes[level][block * (_STEP // 8) : (at + 7) // 8]
-        if len(raw):
-            ones += int(np.unpackbits(raw, bitorder="little")[: at - block * _STEP].sum())
+        k, rest = divmod(at, 8 * BLOCK)
+        ones = int(self.samples[level][k])
+        if rest:
+            raw = self.block(level, k)[: (rest + 7) // 8]
+            ones += int(np.bitwise_count(raw[: rest // 8]).sum())
+            if rest & 7:
+                ones += (int(raw[-1]) & ((1 << (rest & 7)) - 1)).bit_count()
         return ones
 
     def _bit(self, level: int, at: int) -> int:
-        return int(self.planes[level][at >> 3] >> (at & 7)) & 1
+        k, rest = divmod(at, 8 * BLOCK)
+        return int(self.block(level, k)[rest >> 3] >> (rest & 7)) & 1
 
     def access(self, at: int) -> int:
         """The id at a position."""
@@ -95,27 +105,24 @@ class WaveletMatrix:
     def _span(self, value: int, lo: int, hi: int) -> tuple[int, int]:
         for level, zeros in enumerate(self.zeros):
             a, b = self._rank(level, lo), self._rank(level, hi)
-            lo, hi = (zeros + a, zeros + b) if value >> (len(self.planes) - 1 - level) & 1 else (lo - a, hi - b)
+            lo, hi = (zeros + a, zeros + b) if value >> (len(self.zeros) - 1 - level) & 1 else (lo - a, hi - b)
         return lo, hi
 
     def count(self, value: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of an id in [lo, hi)."""
-        if value < 0 or value >> len(self.planes):
+        if value < 0 or value >> len(self.zeros):
             return 0
         a, b = self._span(value, lo, self.n if hi is None else hi)
         return b - a
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) digit ``bit`` of a plane, by bisection over rank."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Position of the k-th (from 0) digit ``bit`` of a plane."""
+        before = self.samples[level]
+        if not bit:
+            before = np.minimum(np.arange(len(before)) * 8 * BLOCK, self.n) - before
+        at = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self.block(level, at), bitorder="little")[: self.n - at * 8 * BLOCK]
+        return at * 8 * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[at])])
 
     def find(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of an id."""
@@ -123,29 +130,43 @@ class WaveletMatrix:
             raise IndexError(k)
         lo, _ = self._span(value, 0, 0)
         at = lo + k
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - level) & 1
+        for level in range(len(self.zeros) - 1, -1, -1):
+            bit = value >> (len(self.zeros) - 1 - level) & 1
             at = self._select(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def to_bytes(self) -> bytes:
-        """Head (magic, version, planes, ids), zeros a plane, sizes, then each plane by zstd."""
+        """Head (magic, version, planes, ids, block size), zeros of each plane, then of
+        each plane its rank samples and its blocks' ends, then the blocks by zstd."""
         codec = pa.Codec("zstd", compression_level=1)
-        packed = [codec.compress(p.tobytes(), asbytes=True) for p in self.planes]
-        head = _HEAD.pack(b"QLWM", 1, len(self.planes), self.n)
-        return b"".join([head, struct.pack(f"<{2 * len(packed)}Q", *self.zeros, *map(len, packed)), *packed])
+        packed = [[codec.compress(self.block(level, k).tobytes(), asbytes=True) for k in range(len(s) - 1)] for level, s in enumerate(self.samples)]
+        ends = np.cumsum([len(x) for plane in packed for x in plane]).astype("<u8")
+        head = _HEAD.pack(b"QLWM", 2, len(self.zeros), self.n, BLOCK)
+        samples = np.concatenate([s.astype("<u8") for s in self.samples]) if self.samples else np.zeros(0, "<u8")
+        return b"".join([head, struct.pack(f"<{len(self.zeros)}Q", *self.zeros), samples.tobytes(), ends.tobytes(), *(x for plane in packed for x in plane)])
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> WaveletMatrix:
-        magic, version, bits, n = _HEAD.unpack_from(blob)
-        if (magic, version) != (b"QLWM", 1):
+        """A matrix over a file's bytes; a block is read when it is asked for."""
+        magic, version, bits, n, size = _HEAD.unpack_from(blob) if len(blob) >= _HEAD.size else (b"", 0, 0, 0, 0)
+        if (magic, version, size) != (b"QLWM", 2, BLOCK):
             raise ValueError("not a token shard")
-        fields = struct.unpack_from(f"<{2 * bits}Q", blob, _HEAD.size)
-        at, planes, codec = _HEAD.size + 16 * bits, [], pa.Codec("zstd")
-        for size in fields[bits:]:
-            planes.append(np.frombuffer(codec.decompress(blob[at : at + size], decompressed_size=(n + 7) // 8), np.uint8))
-            at += size
-        return cls(n, planes, list(fields[:bits]))
+        at, length = _HEAD.size, (n + 7) // 8
+        zeros = list(struct.unpack_from(f"<{bits}Q", blob, at))
+        blocks = -(-length // BLOCK)
+        at += 8 * bits
+        samples = np.frombuffer(blob, "<u8", bits * (blocks + 1), at).astype(np.int64).reshape(bits, blocks + 1)
+        at += 8 * bits * (blocks + 1)
+        ends = np.frombuffer(blob, "<u8", bits * blocks, at).astype(np.int64)
+        at += 8 * bits * blocks
+        codec, view = pa.Codec("zstd"), memoryview(blob)
+
+        def block(level: int, k: int) -> np.ndarray:
+            i = level * blocks + k
+            raw = view[at + (int(ends[i - 1]) if i else 0) : at + int(ends[i])]
+            return np.frombuffer(codec.decompress(raw, decompressed_size=min(BLOCK, length - k * BLOCK)), np.uint8)
+
+        return cls(n, zeros, list(samples), block)
 
 
 SHARDS = T.StructType(
@@ -239,6 +260,64 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return decoded.join(F.broadcast(base), "part").select("doc_id", (F.col("part_base") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def tokens_at(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, place and token of each wanted (doc_id, place), read from the shards.
+
+    Each shard's file is opened once for so many of the places in it, and only
+    the blocks that these lead to are read. Places before a document's start or
+    past its end, and documents that no shard has, give a null token; of rows of
+    one doc_id each that has the place answers.
+    """
+    shards = spark.read.schema(SHARDS).parquet(path)
+    held = shards.select("part", "seq", F.posexplode(F.arrays_zip("doc_ids", "doc_ends")).alias("k", "d"), "doc_ends")
+    held = held.select("part", "seq", F.col("d.doc_ids").alias("doc_id"), F.when(F.col("k") > 0, F.get("doc_ends", F.col("k") - 1)).otherwise(0).alias("first"), F.col("d.doc_ends").alias("end"))
+    asked = wanted.select("doc_id", F.col("place").cast("long").alias("place")).distinct()
+    inside = asked.join(held, "doc_id").where("place >= 0 AND first + place < end").select("doc_id", "place", "part", "seq", (F.col("first") + F.col("place")).alias("at"))
+    # No list of places is longer than a batch, whatever is asked of one shard.
+    slices = inside.withColumn("slice", F.pmod(F.xxhash64("doc_id", "place"), F.lit(64))).groupBy("part", "seq", "slice").agg(F.collect_list(F.struct("doc_id", "place", "at")).alias("asked"))
+
+    def read(batches):
+        for batch in batches:
+            for asked, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                matrix = WaveletMatrix.from_bytes(blob)
+                rows = [(x["doc_id"], x["place"], matrix.access(x["at"])) for x in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "place", "token"])
+
+    found = slices.join(shards.select("part", "seq", "blob"), ["part", "seq"]).select("asked", "blob").mapInArrow(read, "doc_id long, place long, token long")
+    return asked.join(found, ["doc_id", "place"], "left")
+
+
+def _searcher(tokens: list[int], places: bool):
+    def search(batches):
+        for batch in batches:
+            for part, seq, docs, ends, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                matrix = WaveletMatrix.from_bytes(blob)
+                for token in tokens:
+                    n = matrix.count(token)
+                    if not places:
+                        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, seq, token, n)], ["part", "seq", "token", "n"])
+                        continue
+                    for low in range(0, n, 4096):
+                        at = np.array([matrix.find(token, k) for k in range(low, min(n, low + 4096))], np.int64)
+                        k = np.searchsorted(ends, at, "right")
+                        first = np.array([0, *ends[:-1]], np.int64)[k]
+                        yield pa.RecordBatch.from_arrays([pa.array([docs[i] for i in k], pa.int64()), pa.array(at - first), pa.array([token] * len(at), pa.int64())], ["doc_id", "place", "token"])
+
+    return search
+
+
+def token_occurrences(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """token and n: how often each of a few tokens stands in all shards, by rank alone."""
+    shards = spark.read.schema(SHARDS).parquet(path).select("part", "seq", "doc_ids", "doc_ends", "blob")
+    return shards.mapInArrow(_searcher(list(tokens), False), "part long, seq long, token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def find_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """doc_id, place and token of every occurrence of a few tokens, by select."""
+    shards = spark.read.schema(SHARDS).parquet(path).select("part", "seq", "doc_ids", "doc_ends", "blob")
+    return shards.mapInArrow(_searcher(list(tokens), True), "doc_id long, place long, token long")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as wavelet shards and report them as read back."""
     scratch = Scratch(spark, "shards")

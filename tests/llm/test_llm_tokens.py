@@ -17,7 +17,7 @@ from quirelake.llm.encoders import ChunkEncoder
 from quirelake.llm.packing import OpenWindows, best_fit_decreasing, pack_documents
 from quirelake.llm.queries import QUERIES
 from quirelake.llm.token_counts import PrefixCounter, count_tokens
-from quirelake.llm.token_store import WaveletMatrix, read_token_shards, write_token_shards
+from quirelake.llm.token_store import WaveletMatrix, find_tokens, read_token_shards, token_occurrences, tokens_at, write_token_shards
 
 P = pytest.importorskip("public_tokenizers")
 PIECES = ["the ", "The", " ", "  ", "\n", "\t", "'s", "don't", "ing", "été", "中文", "😀", "▁", "<s>", "</s>", "<|endoftext|>", "<|", "x1", "123", "....", "!?", ",", "a" * 40, " ", " ", "\r\n", "ß", "İ", "é", "\x00", "-", "_", "<unk>", "ab", "q"]
@@ -120,6 +120,34 @@ def test_wavelet_matrix():
         WaveletMatrix.from_bytes(b"x" * 64)
 
 
+def test_a_shard_is_read_in_part():
+    ids = np.random.default_rng(5).integers(0, 49_408, 400_000).astype(np.uint16)
+    m = WaveletMatrix.from_bytes(WaveletMatrix.build(ids).to_bytes())
+    blocks, block = [], m.block
+    m.block = lambda level, k: blocks.append((level, k)) or block(level, k)
+    assert m.access(123_456) == ids[123_456] and len(blocks) <= 2 * len(m.zeros)
+    token = int(ids[5])
+    where = np.flatnonzero(ids == token)
+    blocks.clear()
+    assert m.count(token, 1000, 300_001) == int(((where >= 1000) & (where < 300_001)).sum()) and m.find(token, len(where) - 1) == where[-1]
+    # Of 13 blocks a plane, some six.
+    assert len(blocks) <= 7 * len(m.zeros) < 13 * len(m.zeros)
+
+
+def test_access_count_and_find_over_shards(spark, make_docs, odd_rows, words, tmp_path):
+    path = f"file://{tmp_path}/shards"
+    rows = [r for r in odd_rows if r[0] is not None and r[0] != 5]
+    write_token_shards(spark, make_docs(rows), path, shard_ids=700)
+    ids = {d: ids_of(words, t).tolist() for d, t, _ in rows}
+    asked = [(d, p) for d in ids for p in (0, len(ids[d]) - 1, len(ids[d]) // 2, len(ids[d]), -1)] + [(999, 0), (4, 0)]
+    got = {(r.doc_id, r.place): r.token for r in tokens_at(spark, path, spark.createDataFrame(asked, "doc_id long, place int")).collect()}
+    assert got == {(d, p): ids[d][p] if 0 <= p < len(ids.get(d, [])) else None for d, p in asked}
+    some = [2, ids[6][3], 49_000]
+    every = [(d, p, t) for d, own in ids.items() for p, t in enumerate(own) if t in some]
+    assert {r.token: r.n for r in token_occurrences(spark, path, some).collect()} == {t: sum(x[2] == t for x in every) for t in some}
+    assert sorted(tuple(r) for r in find_tokens(spark, path, some).collect()) == sorted(every)
+
+
 def test_best_fit_is_the_tightest_open_window():
     rng = random.Random(1)
     for _ in range(15):
