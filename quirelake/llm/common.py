@@ -3,25 +3,25 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import new_folder, remove
 
 
 class Scratch:
     """Parquet tables in the shared folder that cut lineage between jobs.
 
-    A table survives the loss of any executor, unlike cached blocks.
+    A table survives the loss of any executor, unlike cached blocks. Results are
+    planned over them; ``quirelake.sources.tables.clean`` removes them afterwards.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/quirelake-{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         self._n = 0
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -35,11 +35,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+        remove(self.spark, *(t._scratch_path for t in tables))
 
 
 def arrow_table(schema: pa.Schema, columns: list) -> pa.RecordBatch:
