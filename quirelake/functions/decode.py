@@ -66,6 +66,20 @@ def ctc_collapse(steps: DataFrame, keys: list[str], order: str, index: str, prob
     return marked.where((F.col(index) != blank) & (F.col("_before").isNull() | (F.col("_before") != F.col(index)))).drop("_before")
 
 
+def collapsed(classes: Column, values: Column, blank: int = 0) -> Column:
+    """Array of struct(k, v) of the steps that count, within a row: not blank, and
+    not the class of the step before.
+
+    Each step is paired with the one before it first: a step looked up from
+    within a lambda would have the whole array worked out anew.
+    """
+    none = F.array(F.lit(None).cast("int"))
+    before = F.concat(none, F.slice(classes, 1, F.greatest(F.size(classes) - 1, F.lit(0))))
+    steps = F.arrays_zip(classes.alias("k"), before.alias("p"), values.alias("v"))
+    kept = F.filter(steps, lambda x: x["k"].isNotNull() & (x["k"] != blank) & (x["p"].isNull() | (x["p"] != x["k"])))
+    return F.transform(kept, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
+
+
 def ctc_decode(logits: Column, alphabet: list[str]) -> Column:
     """struct(text, scores) of an array of per-step class scores, inside the row.
 
@@ -73,12 +87,15 @@ def ctc_decode(logits: Column, alphabet: list[str]) -> Column:
     beyond the alphabet adds to the mean score but no character; no kept step
     scores 0.
     """
-    best = F.transform(logits, lambda row: F.struct(argmax(row).alias("i"), F.array_max(row).cast("double").alias("p")))
+    kept = collapsed(F.transform(logits, argmax), F.transform(logits, lambda row: F.array_max(row).cast("double")))
     chars = F.array(*map(F.lit, alphabet))
-    kept = F.filter(best, lambda s, t: (s["i"] != 0) & ((t == 0) | (F.get(best, t - 1)["i"] != s["i"])))
-    text = F.array_join(F.transform(kept, lambda s: F.coalesce(F.get(chars, s["i"] - 1), F.lit(""))), "")
-    mean = F.aggregate(kept, F.lit(0.0), lambda a, s: a + s["p"]) / F.size(kept)
-    return F.struct(text.alias("text"), F.array(F.when(F.size(kept) > 0, mean).otherwise(F.lit(0.0))).alias("scores"))
+
+    def read(steps):
+        text = F.array_join(F.transform(steps, lambda s: F.coalesce(F.get(chars, s["k"] - 1), F.lit(""))), "")
+        mean = F.aggregate(steps, F.lit(0.0), lambda a, s: a + s["v"]) / F.size(steps)
+        return F.struct(text.alias("text"), F.array(F.when(F.size(steps) > 0, mean).otherwise(F.lit(0.0))).alias("scores"))
+
+    return F.get(F.transform(F.array(kept), read), F.lit(0))
 
 
 def segment_ids(steps: DataFrame, keys: list[str], order: str, end: Column) -> DataFrame:

@@ -126,7 +126,9 @@ _COMMAND = re.compile(r"(\\[a-zA-Z]+)\s(?=\w)|\\[a-zA-Z]+\s(?=\})", re.ASCII)
 _OPERATORS = (r"\operatorname", r"\mathrm", r"\text", r"\mathbf")
 #: Stands for a space that must stay.
 _HELD = "\ue000"
-_NEEDLESS = tuple(re.compile(p, re.ASCII) for p in (r"(?!\\ )([^a-zA-Z])\s+?([^a-zA-Z])", r"(?!\\ )([^a-zA-Z])\s+?([a-zA-Z])", rf"([a-zA-Z{_HELD}])\s+?([^a-zA-Z{_HELD}])"))
+#: The mark counts as a letter in every rule, as the letters that stand for it do.
+_LETTER = f"a-zA-Z{_HELD}"
+_NEEDLESS = tuple(re.compile(p, re.ASCII) for p in (rf"(?!\\ )([^{_LETTER}])\s+?([^{_LETTER}])", rf"(?!\\ )([^{_LETTER}])\s+?([{_LETTER}])", rf"([{_LETTER}])\s+?([^{_LETTER}])"))
 
 
 def normalize_latex_text(text: str) -> str:

@@ -18,7 +18,7 @@ from ..functions import pixels, probmap
 from ..schema import DOCLING_LABELS, LAYOUT_LABELS
 from ..sources.dictionaries import model_path
 from .layout import suppress
-from .models import REGISTRIES, Model, Options, generate, onnx_session
+from .models import REGISTRIES, Model, Options, generate, generate_cached, onnx_session
 
 # Fixed values of published models.
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -241,14 +241,97 @@ class Generator:
         return [(self.clean(self.decode(row)), row, -1.0) for row in ids]
 
 
-# Fixed values of published generators: end id and most tokens.
-GENERATOR_LIMITS = {"formula-plus": (2, 1537), "dolphin": (2, 4096), "unirec": (2, 2048), "granite-docling": (100257, 8192), "got": (151645, 4096)}
+#: Own default where no most tokens are published; a call's ``max_tokens`` goes before it.
+MOST_TOKENS = 4096
 
 
-def register_families(root: str, alphabet: Sequence[str] = (), sessions: Callable[[str], object] = onnx_session) -> None:
+@dataclass(frozen=True)
+class Published:
+    """What is published of a generator: names, the prompt of each task it stands
+    under, ids that end a text (none: a call's ``end``, 2 without one, as the
+    model's own settings tell), most tokens, whether it takes one image at a
+    time, and the temperature. The first ids are the runtime's to give."""
+
+    names: tuple[str, ...]
+    prompts: dict[str, str]
+    ends: tuple[int, ...] = ()
+    most: int = MOST_TOKENS
+    one_at_a_time: bool = False
+    temperature: float = 0.0
+
+
+# Fixed values of published generators.
+GENERATORS = (
+    Published(("PP-FormulaNet-L", "PP-FormulaNet_plus-L"), {"formula": ""}, (2,), 1537),
+    Published(("PP-FormulaNet-S", "PP-FormulaNet_plus-S", "PP-FormulaNet_plus-M"), {"formula": ""}, (2,)),
+    Published(("pix2text-mfr",), {"formula": ""}, most=513),
+    Published(("pix2text-mfr-1.5",), {"formula": ""}, most=1025),
+    Published(("TexTeller",), {"formula": ""}),
+    Published(("nougat-latex-base",), {"formula": ""}),
+    Published(("granite-docling-258M",), {"formula": "Convert formula to LaTeX."}, (100257,), 8192, one_at_a_time=True),
+    Published(("CodeFormulaV2",), {"formula": "<formula>"}, (100338,), 8192, one_at_a_time=True),
+    Published(("Dolphin", "Dolphin-1.5"), {"formula": "Read formula in the image.", "table": "Parse the table in the image."}, (2,), 4096),
+    Published(("unirec-0.1b",), {"formula": "", "table": ""}, (2,), 2048, one_at_a_time=True),
+    Published(("Falcon-OCR", "Falcon-OCR-ONNX"), {"formula": "Extract the formula content from this image.", "table": "Extract the table content from this image."}, (11, 263)),
+    Published(("GOT-OCR-2.0",), {"formula": "OCR with format: "}, (151645,), 4096),
+    Published(("LlamaJCpp-OCR",), {"formula": "Extract all text from the image."}, (), 2048, one_at_a_time=True, temperature=0.2),
+    Published(("GLM-OCR",), {"page_text": "OCR:"}, (59246,), one_at_a_time=True),
+    Published(("LightOnOCR-2-1B", "LightOnOCR-2-1B-ONNX"), {"page_text": ""}, (), 4096),
+    Published(("llava-onevision-qwen2-0.5b-ov-hf",), {"page_text": "OCR"}, (151645, 151643), 4096),
+    Published(("Qwen3-VL-2B-Instruct",), {"page_text": "Convert this formula image to LaTeX."}, (151645, 151643), 4096),
+    Published(("blip",), {"caption": ""}, (102,), 512),
+)
+
+
+def names_of(task: str) -> list[str]:
+    """Published generators of a task."""
+    return sorted(n for g in GENERATORS if task in g.prompts for n in g.names)
+
+
+@dataclass(frozen=True)
+class Runtime:
+    """A generator's networks: ``encode(images, prompt)`` gives the first ids and
+    what the first step needs, ``step(new ids, kept)`` scores and what is kept
+    (see ``generate_cached``), ``decode(ids)`` the text of ids."""
+
+    encode: Callable
+    step: Callable
+    decode: Callable[[list[int]], str]
+
+
+def published_generator(runtime: Runtime, of: Published, task: str) -> Model:
+    """(text, ids, score) of each image; a caption's score is 1, others have none (-1).
+
+    A model of one image at a time takes the items of a call one by one.
+    """
+    score = 1.0 if task == "caption" else -1.0
+
+    def some(items: Sequence[np.ndarray], options: Options) -> list:
+        start, first = runtime.encode(items, options.get("prompt", of.prompts[task]))
+        step = lambda new, kept: runtime.step(new, first if kept is None else kept)
+        ends = of.ends or (int(options.number("end", 2)),)
+        ids = generate_cached(step, start, ends, int(options.number("max_tokens", of.most)), options.number("temperature", of.temperature), int(options.number("seed", 42)))
+        texts = [runtime.decode([t for t in row if t not in ends]).strip() for row in ids]
+        return [(t, row, score) for t, row in zip(texts, ids, strict=True)]
+
+    def model(items: Sequence[np.ndarray], options: Options) -> list:
+        return [x for item in items for x in some([item], options)] if of.one_at_a_time else some(items, options)
+
+    return model
+
+
+def no_runtime(path: str, of: Published) -> Runtime:
+    raise NotImplementedError(f"give register_families the runtimes of {path}")
+
+
+def register_families(
+    root: str, alphabet: Sequence[str] = (), sessions: Callable[[str], object] = onnx_session, runtimes: Callable[[str, Published], Runtime] = no_runtime, figures: Sequence[str] = ()
+) -> None:
     """Put the families under their published names, over files below ``root``.
 
     A file is opened by the first call of a worker that asks for the model.
+    Generators run on what ``runtimes(folder, published)`` gives; ``figures`` are
+    the labels of the figure classifier.
     """
 
     def over(build: Callable, file: str = "inference.onnx", suffix: str = "_onnx"):
@@ -264,3 +347,8 @@ def register_families(root: str, alphabet: Sequence[str] = (), sessions: Callabl
         put("layout", name, over(lambda s, o, a=(labels, side), b=(MEAN, STD) if standard else (0.0, 1.0): box_layout(s, *a, mean=b[0], std=b[1])))
     put("layout", "PP-DocLayoutV3", over(lambda s, o: query_layout(s, LAYOUT_LABELS, 800, 0.5, inclusive=True, ordered=True)))
     put("layout", QUERY_LAYOUTS, over(lambda s, o: query_layout(s, DOCLING_LABELS, 640, 0.3, kind="area")))
+    put("classify", "DocumentFigureClassifier", over(lambda s, o: classifier(s, figures, figure_view, "input", logits=True), "model.onnx", ""))
+    for of in GENERATORS:
+        for task in of.prompts:
+            for name in of.names:
+                put(task, name, lambda n, o, of=of, task=task: published_generator(runtimes(f"{root}/{n}", of), of, task))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +97,22 @@ def top_queries(df: DataFrame, key: str, scores: str, n: int, classes: int) -> D
     return best.select(key, (F.col("rank") + 1).alias("rank"), F.floor(flat / classes).cast("int").alias("query"), F.pmod(flat, F.lit(classes)).alias("cls"), F.col("_b.score").alias("score"))
 
 
-def reading_order(det: DataFrame, before: Column, page: str = "page_id", det_id: str = "det_id") -> DataFrame:
-    """Rank of each box by pairwise votes.
+def reading_order(det: DataFrame, before: Callable[[Column, Column], Column], columns: list[str], page: str = "page_id", det_id: str = "det_id") -> DataFrame:
+    """Rank of each box by pairwise votes: det's page, id, votes and read_rank.
 
-    ``before`` is the score of box a (alias "a") standing before box b, for a
-    ahead of b by id. A box gathers the scores of all pairs that put others
-    ahead of it; the rank is by votes upwards, ties by id.
+    ``before`` gives the score of box a standing before box b, for a ahead of b
+    by id, from their ``columns``. A box gathers the scores of all pairs that put
+    others ahead of it; the rank is by votes upwards, ties by id. A page's boxes
+    are one array, and pairs are taken within it: one shuffle, and no pair is a row.
     """
-    a, b = det.select(page, *[c for c in det.columns if c != page]).alias("a"), det.alias("b")
-    pairs = a.join(b, (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col(f"a.{det_id}") < F.col(f"b.{det_id}")))
-    both = pairs.select(F.col(f"a.{page}").alias(page), F.explode(F.array(F.struct(F.col(f"b.{det_id}").alias("id"), before.alias("v")), F.struct(F.col(f"a.{det_id}").alias("id"), (1 - before).alias("v")))).alias("x"))
-    votes = both.groupBy(page, F.col("x.id").alias(det_id)).agg(F.sum("x.v").alias("votes"))
-    all_ = det.select(page, det_id).join(votes, [page, det_id], "left").withColumn("votes", F.coalesce("votes", F.lit(0) * F.lit(1)))
-    w = Window.partitionBy(page).orderBy("votes", det_id)
-    return all_.withColumn("read_rank", F.row_number().over(w) - 1)
+    boxes = det.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(det_id, *columns))).alias("_b"))
+
+    def votes(x):
+        each = F.transform("_b", lambda y: F.when(y[det_id] < x[det_id], before(y, x)).when(y[det_id] > x[det_id], 1 - before(x, y)).otherwise(0))
+        return F.aggregate(each, F.lit(0).cast("double"), lambda total, v: total + v.cast("double"))
+
+    counted = boxes.select(page, F.array_sort(F.transform("_b", lambda x: F.struct(votes(x).alias("votes"), x[det_id].alias(det_id)))).alias("_v"))
+    return counted.select(page, F.posexplode("_v").alias("read_rank", "_x")).select(page, F.col(f"_x.{det_id}").alias(det_id), F.col("_x.votes").alias("votes"), "read_rank")
 
 
 def lexical_order(det: DataFrame, first: str, second: str, tie: str, page: str = "page_id") -> DataFrame:

@@ -113,10 +113,6 @@ TASKS = ("layout", "detection", "recognition", "doc_orientation", "line_orientat
 REGISTRIES = {task: Registry(task) for task in TASKS}
 
 
-def union_of_names(*sets: Iterable[str]) -> set[str]:
-    return set().union(*map(set, sets))
-
-
 _CACHE: dict[tuple, Model] = {}
 _LOCK = threading.Lock()
 
@@ -192,31 +188,46 @@ def onnx_factory(path: str, prepare: Callable, finish: Callable) -> Factory:
 
 
 def generate(step: Callable[[np.ndarray], np.ndarray], start: np.ndarray, end: int, most: int, temperature: float = 0.0, seed: int = 42, top: int = 40, mass: float = 0.95, floor: float = 0.05) -> list[list[int]]:
+    """``generate_cached`` with a ``step`` that maps all ids so far (batch, length)
+    to scores, for models that keep nothing between tokens."""
+
+    def whole(new: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        ids = new if before is None else np.concatenate([before, new], axis=1)
+        return step(ids), ids
+
+    return generate_cached(whole, start, (end,), most, temperature, seed, top, mass, floor)
+
+
+def generate_cached(step: Callable[[np.ndarray, Any], tuple[np.ndarray, Any]], start: np.ndarray, ends: Sequence[int], most: int, temperature: float = 0.0, seed: int = 42, top: int = 40, mass: float = 0.95, floor: float = 0.05) -> list[list[int]]:
     """Token loop of a batch of sequences within one call.
 
-    ``step`` maps ids (batch, length) to scores of the next token (batch,
-    vocabulary). Greedy at temperature 0 or below, the first of equals; else
-    sampled among the ``top`` best, least probability ``floor`` of the best, and
-    the smallest set of probability ``mass``. A finished row is fed the end id
-    until all have finished or ``most`` tokens stand.
+    ``step`` maps new ids (batch, length) and what it kept (none at first, when
+    the new ids are the prompt) to scores of the next token (batch, vocabulary)
+    and what it keeps, such as keys and values; so a token costs one position,
+    not all before it. Greedy at temperature 0 or below, the first of equals;
+    else sampled among the ``top`` best, least probability ``floor`` of the best,
+    and the smallest set of probability ``mass``. A row is finished by any of
+    ``ends`` and then fed the first of them, until all have finished or ``most``
+    tokens stand.
     """
-    ids = np.asarray(start, np.int64)
-    ids = ids[:, None] if ids.ndim == 1 else ids
-    rng = np.random.default_rng(seed)
-    done, out = np.zeros(len(ids), bool), [[] for _ in range(len(ids))]
+    new = np.asarray(start, np.int64)
+    new = new[:, None] if new.ndim == 1 else new
+    rng, kept = np.random.default_rng(seed), None
+    done, out = np.zeros(len(new), bool), [[] for _ in range(len(new))]
     for _ in range(most):
-        scores = np.asarray(step(ids), float)
+        scores, kept = step(new, kept)
+        scores = np.asarray(scores, float)
         if temperature <= 0:
-            nxt = scores.argmax(axis=1)
+            found = scores.argmax(axis=1)
         else:
-            nxt = np.array([_sample(s / temperature, rng, top, mass, floor) for s in scores])
-        nxt = np.where(done, end, nxt)
+            found = np.array([_sample(s / temperature, rng, top, mass, floor) for s in scores])
+        found = np.where(done, ends[0], found)
         for i in np.flatnonzero(~done):
-            out[i].append(int(nxt[i]))
-        done |= nxt == end
+            out[i].append(int(found[i]))
+        done |= np.isin(found, ends)
         if done.all():
             break
-        ids = np.concatenate([ids, nxt[:, None]], axis=1)
+        new = found[:, None]
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes, decode, textnorm
 from ..functions.boxes import Box
-from ..operators import evaluate, layout, models, readorder, route
+from ..operators import evaluate, families, layout, models, readorder, route
 from . import sample
 from .registry import ORACLE_SQL as ORACLE_SQL
 from .registry import QUERIES as QUERIES
@@ -215,8 +215,7 @@ SELECT page_id, det_id, CAST(votes AS BIGINT) AS votes, CAST(row_number() OVER (
     )
 )
 def reading_order(spark, sf_dir):
-    before = (F.col("a.score_m") * 7 + F.col("b.score_m") * 3) % 101
-    out = layout.reading_order(sample.det(spark, sf_dir), before)
+    out = layout.reading_order(sample.det(spark, sf_dir), lambda a, b: (a["score_m"] * 7 + b["score_m"] * 3) % 101, ["score_m"])
     return out.select("page_id", "det_id", F.col("votes").cast("long").alias("votes"), "read_rank")
 
 
@@ -231,7 +230,8 @@ def quad_band_sort(spark, sf_dir):
 
 
 def _ctc(spark, sf_dir):
-    return decode.ctc_collapse(sample.steps(spark, sf_dir), ["doc_id"], "t", "k")
+    # A document's steps are arrays of its row: no step is a row, and nothing is shuffled.
+    return sample.step_arrays(spark, sf_dir).select("doc_id", decode.collapsed(F.col("k"), F.col("prob_m")).alias("kept"))
 
 
 _CTC_SQL = f"WITH {sample.STEPS_SQL.strip()}, lagged AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY t) AS b FROM steps), kept AS (SELECT * FROM lagged WHERE k <> 0 AND (b IS NULL OR b <> k))"
@@ -239,16 +239,15 @@ _CTC_SQL = f"WITH {sample.STEPS_SQL.strip()}, lagged AS (SELECT *, lag(k) OVER (
 
 @query(_CTC_SQL + " SELECT doc_id, count(*) AS n, md5(string_agg(chr(k + 33), '' ORDER BY t)) AS text_md5 FROM kept GROUP BY doc_id")
 def ctc_collapse(spark, sf_dir):
-    rows = F.array_sort(F.collect_list(F.struct("t", "k")))
-    text = F.array_join(F.transform(rows, lambda r: F.char(r["k"] + 33)), "")
-    return _ctc(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(text).alias("text_md5"))
+    text = F.array_join(F.transform("kept", lambda r: F.char(r["k"] + 33)), "")
+    return _ctc(spark, sf_dir).where(F.size("kept") > 0).select("doc_id", F.size("kept").cast("long").alias("n"), F.md5(text).alias("text_md5"))
 
 
 @query(_CTC_SQL + ", a AS (SELECT doc_id, avg(prob_m / 1000.0) AS m FROM kept GROUP BY doc_id) SELECT d.doc_id, round(coalesce(m, 0), 9) AS confidence FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id")
 def ctc_confidence(spark, sf_dir):
-    means = _ctc(spark, sf_dir).groupBy("doc_id").agg(F.avg(F.col("prob_m") / 1000).alias("m"))
-    docs = sample.table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(means, "doc_id", "left").select("doc_id", F.round(F.coalesce("m", F.lit(0.0)), 9).alias("confidence"))
+    total = F.aggregate("kept", F.lit(0).cast("long"), lambda a, r: a + r["v"])
+    mean = F.when(F.size("kept") > 0, total / 1000 / F.size("kept")).otherwise(F.lit(0.0))
+    return _ctc(spark, sf_dir).select("doc_id", F.round(mean, 9).alias("confidence"))
 
 
 @query(
@@ -368,15 +367,17 @@ def normalize_latex(spark, sf_dir):
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation and the turn after, as reference and hypothesis;
-    without characters beyond ASCII, which DuckDB counts as bytes."""
-    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    """Turns of a conversation and the turn after, whole, as reference and hypothesis."""
     turns = sample.table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
-    return turns.select("conv_id", "turn", plain(F.col("text")).alias("reference"), F.lead(plain(F.col("text"))).over(w).alias("hypothesis")).where("hypothesis is not null")
+    return turns.select("conv_id", "turn", F.col("text").alias("reference"), F.lead("text").over(w).alias("hypothesis")).where("hypothesis is not null")
 
 
-_PAIRS_SQL = "pairs AS (SELECT * FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS reference, lead(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn, text) AS hypothesis FROM conversations) WHERE hypothesis IS NOT NULL)"
+#: Letters beyond ASCII in the texts. DuckDB's distance counts bytes, so its SQL puts
+#: a control character, one byte and in no text, in the place of each.
+_LETTERS = "äöüÄÖÜßáéíóúñÁÉÍÓÚÑèêçÈÊÇ"
+_ONE_BYTE = "'" + _LETTERS + "', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(_LETTERS)])
+_PAIRS_SQL = f"""pairs AS (SELECT * FROM (SELECT conv_id, turn, translate(text, {_ONE_BYTE}) AS reference, translate(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text), {_ONE_BYTE}) AS hypothesis FROM conversations) WHERE hypothesis IS NOT NULL)"""
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT conv_id, turn, levenshtein(reference, hypothesis) AS distance, CAST(greatest(length(reference), length(hypothesis)) AS BIGINT) AS longest FROM pairs")
@@ -489,16 +490,15 @@ def retry_batches(spark, sf_dir):
     return models.predict(d, _fake_factory, "doubler", "score_m", put, "page_id long, det_id long, doubled long", size=8)
 
 
-_NAMES = {"layout": ("base", "small", "large"), "formula": ("base", "plus"), "table": ("base", "plus", "wide")}
-
-
-@query("SELECT name FROM (VALUES ('base'), ('small'), ('large'), ('base'), ('plus'), ('base'), ('plus'), ('wide')) v(name) GROUP BY name")
+@query("SELECT name, count(*) AS n FROM (VALUES " + ", ".join(f"('{n}')" for task in ("formula", "table", "page_text", "caption") for n in families.names_of(task)) + ") v(name) GROUP BY name")
 def model_names_union(spark, sf_dir):
-    frames = [spark.createDataFrame([(n,) for n in names], "name string") for names in _NAMES.values()]
+    """Names of the registered generators, with the number of tasks each stands under."""
+    families.register_families("/models")
+    frames = [spark.createDataFrame([(n,) for n in sorted(models.REGISTRIES[task].names())], "name string") for task in ("formula", "table", "page_text", "caption")]
     out = frames[0]
     for f in frames[1:]:
         out = out.union(f)
-    return out.distinct()
+    return out.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, length(html) AS n, CASE WHEN length(html) > 200 THEN substr(html, 1, 200) || '...' ELSE html END AS shown FROM pages")

@@ -214,14 +214,14 @@ def class_branches(spark, sf_dir):
 
 @query()
 def probability_boxes(spark, sf_dir):
-    """Text boxes of 32 x 32 maps made from 8 x 8 scores."""
+    """Text boxes of maps made from scores, eight a row, each four by four."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for key, e in zip(f["vec_id"], f["embedding"], strict=True):
-                prob = 1 / (1 + np.exp(-4 * np.kron(np.asarray(e, float)[:64].reshape(8, 8), np.ones((4, 4)))))
-                found = probmap.text_boxes(prob, 64, 64, threshold=0.6, least_score=0.5)
+                prob = 1 / (1 + np.exp(-4 * np.kron(np.asarray(e, float).reshape(-1, 8), np.ones((4, 4)))))
+                found = probmap.text_boxes(prob, 64, 2 * len(prob), threshold=0.6, least_score=0.5)
                 out += [(key, i, sum(p, []), round(s, 9)) for i, (p, s) in enumerate(zip(found.polys, found.scores, strict=True))]
             yield pd.DataFrame(out, columns=["vec_id", "box", "quad", "score"])
 

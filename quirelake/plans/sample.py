@@ -78,6 +78,13 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chars.select("doc_id", (F.col("t") + 1).cast("long").alias("t"), code.alias("k"), ((F.ascii("c") * 31 + F.col("t") * 7) % 1000).cast("long").alias("prob_m"))
 
 
+def step_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``steps`` as two arrays a document: doc_id, ``k`` and ``prob_m``."""
+    chars = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "").alias("c"))
+    code = F.transform("c", lambda c: F.when(c == " ", 0).otherwise(F.floor(F.ascii(c) / 4) % STEP_CLASSES).cast("int"))
+    return chars.select("doc_id", code.alias("k"), F.transform("c", lambda c, t: ((F.ascii(c) * 31 + t * 7) % 1000).cast("long")).alias("prob_m"))
+
+
 STEPS_SQL = f"""
 chars AS (SELECT doc_id, CAST(unnest(range(1, length(text) + 1)) AS BIGINT) AS t, text FROM documents),
 cut AS (SELECT doc_id, t, substr(text, t, 1) AS c FROM chars),

@@ -22,18 +22,22 @@ def page_key(path) -> F.Column:
 
 
 def read_images(spark: SparkSession, *paths: str) -> DataFrame:
-    """Image files of any kind that Spark's image source decodes; others are dropped.
+    """Image files of any kind that Spark's image source decodes; a file that it
+    can't decode fails the read by name.
 
     No paths give no pages. The source's bytes are blue, green, red; they are
     turned in one Arrow-batched pass.
     """
     if not paths:
         return spark.createDataFrame([], PIXELS)
-    found = spark.read.format("image").option("dropInvalid", True).load(list(paths))
+    found = spark.read.format("image").option("dropInvalid", False).load(list(paths))
     flat = found.select(page_key(F.col("image.origin")).alias("page_id"), F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            for path, height in zip(f["path"], f["height"], strict=True):
+                if height < 0:  # as the source marks what it can't decode
+                    raise ValueError(f"{path}: not an image")
             data = [pixels.from_row(r).tobytes() for r in f.to_dict("records")]
             yield f.assign(data=data)[["page_id", "path", "height", "width", "data"]]
 

@@ -135,3 +135,59 @@ def test_tokenizer_functions(spark, sf_dir):
     df = spark.createDataFrame([(1, "the quick brown fox"), (2, None), (3, "")], "k int, t string")
     got = {r.k: (r.ids, r.back) for r in df.select("k", tokenizer.encode(F.col("t"), path).alias("ids")).select("k", "ids", tokenizer.decode(F.col("ids"), path).alias("back")).collect()}
     assert got == {1: (Tokenizer.from_file(path).encode("the quick brown fox").ids, "the quick brown fox"), 2: ([], ""), 3: ([], "")}
+
+
+def test_generators_stand_under_their_names_and_tasks():
+    from quirelake.operators.families import GENERATORS, Runtime, names_of, register_families
+    from quirelake.operators.models import REGISTRIES, Options
+
+    seen = []
+
+    def runtimes(path, of):
+        def step(new, kept):
+            assert new.shape[1] == (2 if kept["n"] == 0 else 1)  # the prompt first, then a token a step
+            scores = np.zeros((len(new), 200_000))
+            end = (of.ends or (2,))[-1]
+            for i, k in enumerate(kept["after"]):
+                scores[i, end if kept["n"] >= k else 7 + kept["n"]] = 1
+            return scores, kept | {"n": kept["n"] + 1}
+
+        def encode(images, prompt):
+            seen.append((path, prompt, len(images)))
+            return np.zeros((len(images), 2), int), {"n": 0, "after": [int(x.mean()) for x in images]}
+
+        return Runtime(encode, step, lambda ids: " " + ",".join(map(str, ids)) + " ")
+
+    before = {task: dict(r._factories) for task, r in REGISTRIES.items()}
+    try:
+        register_families("/models", runtimes=runtimes, figures=("pie", "bar"))
+        images = [np.full((4, 4, 3), n, np.uint8) for n in (1, 3)]
+        for of in GENERATORS:
+            for task, prompt in of.prompts.items():
+                for name in of.names:
+                    assert name in names_of(task) and REGISTRIES[task].is_registered(name)
+                    seen.clear()
+                    got = REGISTRIES[task].factory(name)(name, Options())(images, Options.of(temperature=0))
+                    end = (of.ends or (2,))[-1]
+                    assert got == [("7", [7, end], 1.0 if task == "caption" else -1.0), ("7,8,9", [7, 8, 9, end], 1.0 if task == "caption" else -1.0)]
+                    assert seen == ([(f"/models/{name}", prompt, 1)] * 2 if of.one_at_a_time else [(f"/models/{name}", prompt, 2)])
+        assert REGISTRIES["classify"].is_registered("DocumentFigureClassifier")
+        assert {"Dolphin", "Dolphin-1.5", "unirec-0.1b", "Falcon-OCR", "Falcon-OCR-ONNX"} == REGISTRIES["table"].names() and len(REGISTRIES["formula"].names()) == 18
+    finally:
+        for task, r in REGISTRIES.items():
+            r._factories = before[task]
+
+
+def test_a_cached_loop_gives_what_an_uncached_one_does():
+    from quirelake.operators.models import generate, generate_cached
+
+    table = np.random.default_rng(3).standard_normal((40, 11))
+    whole = lambda ids: table[ids.sum(axis=1) % 40]
+
+    def step(new, kept):
+        total = new.sum(axis=1) + (0 if kept is None else kept)
+        return table[total % 40], total
+
+    start = np.array([[1, 2], [3, 4], [0, 0]])
+    for temperature in (0, 0.7):
+        assert generate(whole, start, 5, 30, temperature) == generate_cached(step, start, (5,), 30, temperature)
