@@ -129,7 +129,8 @@ def spread(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     Exact, with percentiles between two values where they fall there. Equal
     values are counted first, on the map side too; a group's distinct values are
     then summed up in order by a window, which spills, and read by plain
-    aggregates. No task holds a group's values in memory. Nulls don't count.
+    aggregates. No task holds a group's values in memory. Nulls don't count, and a group of
+    nulls alone has no row.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*by)
