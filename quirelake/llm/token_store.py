@@ -51,9 +51,9 @@ class WaveletMatrix:
         for digit in range(bits - 1, -1, -1):
             ones = ((now >> digit) & 1).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = now[~ones]
+            low = np.compress(~ones, now)  # several times faster than a mask on digits without a pattern
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, np.compress(ones, now)])
         samples = []
         for plane in planes:
             counts = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), BLOCK)) if len(plane) else np.zeros(0, np.int64)
@@ -70,9 +70,9 @@ class WaveletMatrix:
         now = np.zeros(self.n, kind)
         for digit, zeros in enumerate(reversed(self.zeros)):
             ones = np.unpackbits(self._plane(len(self.zeros) - 1 - digit), count=self.n, bitorder="little").view(bool)
+            now[zeros:] |= kind(1 << digit)
             before = np.empty(self.n, kind)
-            before[~ones] = now[:zeros]
-            before[ones] = now[zeros:] | kind(1 << digit)
+            before[np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)])] = now
             now = before
         return now
 
