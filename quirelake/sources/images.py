@@ -21,16 +21,24 @@ def page_key(path) -> F.Column:
     return F.xxhash64(path)
 
 
-def read_images(spark: SparkSession, *paths: str) -> DataFrame:
-    """Image files of any kind that Spark's image source decodes; a file that it
-    can't decode fails the read by name.
+def undecodable_images(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path`` of each file that Spark's image source can't decode, which
+    ``read_images`` leaves out unless it is strict."""
+    found = spark.read.format("image").option("dropInvalid", False).load(list(paths))
+    return found.where("image.height < 0").select(F.col("image.origin").alias("path"))
+
 
-    No paths give no pages. The source's bytes are blue, green, red; they are
-    turned in one Arrow-batched pass.
+def read_images(spark: SparkSession, *paths: str, strict: bool = False) -> DataFrame:
+    """Image files of any kind that Spark's image source decodes.
+
+    A folder may hold other files too: they are left out, and
+    ``undecodable_images`` lists them; with ``strict`` the first fails the read by
+    name. No paths give no pages. The source's bytes are blue, green, red;
+    they are turned in one Arrow-batched pass.
     """
     if not paths:
         return spark.createDataFrame([], PIXELS)
-    found = spark.read.format("image").option("dropInvalid", False).load(list(paths))
+    found = spark.read.format("image").option("dropInvalid", not strict).load(list(paths))
     flat = found.select(page_key(F.col("image.origin")).alias("page_id"), F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

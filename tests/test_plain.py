@@ -7,7 +7,7 @@ import pytest
 
 from quirelake.plans import sample
 from quirelake.plans.catalogue import QUERIES, _halves
-from quirelake.sources.images import read_images
+from quirelake.sources.images import read_images, undecodable_images
 
 
 def by_page(df):
@@ -69,8 +69,9 @@ def test_token_error_rate(spark, sf_dir):
 
 def test_an_undecodable_image_is_reported(spark, tmp_path):
     (tmp_path / "no.png").write_bytes(b"this is no image")
+    assert [r.path.rsplit("/", 1)[1] for r in undecodable_images(spark, str(tmp_path)).collect()] == ["no.png"] and read_images(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="no.png"):
-        read_images(spark, str(tmp_path)).collect()
+        read_images(spark, str(tmp_path), strict=True).collect()
 
 
 def test_sequences_collapse_within_rows(spark):
