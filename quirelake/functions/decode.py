@@ -73,11 +73,14 @@ def collapsed(classes: Column, values: Column, blank: int = 0) -> Column:
     Each step is paired with the one before it first: a step looked up from
     within a lambda would have the whole array worked out anew.
     """
-    none = F.array(F.lit(None).cast("int"))
-    before = F.concat(none, F.slice(classes, 1, F.greatest(F.size(classes) - 1, F.lit(0))))
-    steps = F.arrays_zip(classes.alias("k"), before.alias("p"), values.alias("v"))
-    kept = F.filter(steps, lambda x: x["k"].isNotNull() & (x["k"] != blank) & (x["p"].isNull() | (x["p"] != x["k"])))
-    return F.transform(kept, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
+
+    def keep(x):
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(x["k"], 1, F.greatest(F.size(x["k"]) - 1, F.lit(0))))
+        counts = F.zip_with(x["k"], before, lambda k, p: (k != blank) & F.coalesce(p != k, F.lit(True)))
+        both = F.arrays_zip(counts.alias("c"), x["k"].alias("k"), x["v"].alias("v"))
+        return F.transform(F.filter(both, lambda y: y["c"]), lambda y: F.struct(y["k"].alias("k"), y["v"].alias("v")))
+
+    return F.get(F.transform(F.array(F.struct(classes.alias("k"), values.alias("v"))), keep), F.lit(0))
 
 
 def ctc_decode(logits: Column, alphabet: list[str]) -> Column:

@@ -240,7 +240,9 @@ _CTC_SQL = f"WITH {sample.STEPS_SQL.strip()}, lagged AS (SELECT *, lag(k) OVER (
 @query(_CTC_SQL + " SELECT doc_id, count(*) AS n, md5(string_agg(chr(k + 33), '' ORDER BY t)) AS text_md5 FROM kept GROUP BY doc_id")
 def ctc_collapse(spark, sf_dir):
     text = F.array_join(F.transform("kept", lambda r: F.char(r["k"] + 33)), "")
-    return _ctc(spark, sf_dir).where(F.size("kept") > 0).select("doc_id", F.size("kept").cast("long").alias("n"), F.md5(text).alias("text_md5"))
+    told = F.struct(F.size("kept").cast("long").alias("n"), F.md5(text).alias("text_md5"))
+    # Rows without a step go within the generator: a filter would be pushed down and have all worked out twice.
+    return _ctc(spark, sf_dir).select("doc_id", F.inline(F.filter(F.array(told), lambda x: x["n"] > 0)))
 
 
 @query(_CTC_SQL + ", a AS (SELECT doc_id, avg(prob_m / 1000.0) AS m FROM kept GROUP BY doc_id) SELECT d.doc_id, round(coalesce(m, 0), 9) AS confidence FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id")

@@ -78,10 +78,18 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chars.select("doc_id", (F.col("t") + 1).cast("long").alias("t"), code.alias("k"), ((F.ascii("c") * 31 + F.col("t") * 7) % 1000).cast("long").alias("prob_m"))
 
 
+def over_cores(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by a key if its scan has fewer parts than twice the cores, as
+    a small file has; a large table has parts enough and stays where it is."""
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def step_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``steps`` as two arrays a document: doc_id, ``k`` and ``prob_m``."""
-    chars = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "").alias("c"))
-    code = F.transform("c", lambda c: F.when(c == " ", 0).otherwise(F.floor(F.ascii(c) / 4) % STEP_CLASSES).cast("int"))
+    texts = over_cores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    chars = texts.select("doc_id", F.split("text", "").alias("c"))
+    code = F.transform("c", lambda c: F.when(c == " ", 0).otherwise(F.shiftright(F.ascii(c), 2) % STEP_CLASSES))
     return chars.select("doc_id", code.alias("k"), F.transform("c", lambda c, t: ((F.ascii(c) * 31 + t * 7) % 1000).cast("long")).alias("prob_m"))
 
 
