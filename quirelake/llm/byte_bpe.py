@@ -133,7 +133,9 @@ def encode_documents(docs: DataFrame, ranks: str = RANKS, with_ids: bool = True)
 
     A map without a shuffle over whole texts. Null texts are empty (no ids, the
     digests of nothing); null doc_ids, repeated rows and further columns do no
-    harm; no rows give none.
+    harm; no rows give none. A very long text is held whole by its task, with its
+    ids; a match of any length takes logarithmic steps a merge. Of pairs of equal
+    rank the leftmost is merged.
     """
 
     def encode(batches):

@@ -105,7 +105,8 @@ def judge_documents(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...]
 
     Null texts are empty, a null source is the host "", null doc_ids and repeated
     rows are judged each for itself, further columns are ignored, and no rows
-    give none.
+    give none. A very long text is held whole by its task, with a window a word,
+    sorted; a share or rate at its limit passes.
     """
     scratch = Scratch(spark, "quality")
     metrics = scratch.table(document_metrics(docs, keep), "metrics")
