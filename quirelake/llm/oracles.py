@@ -52,7 +52,7 @@ FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN least_of l O
 
 
 def _fails(column: int) -> str:
-    share = {"symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
+    share = {"symbols": "n_symbols / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "word_length": "CASE WHEN unspaced THEN 0 ELSE word_chars / greatest(n_words, 1) END"}
     return " OR ".join(f"{share[rule[0]]} > {rule[column]}" for rule in quality_rules.RULES)
 
 
@@ -65,6 +65,7 @@ g AS (SELECT r, i, a || ' ' || lead(a, 1) OVER p || ' ' || lead(a, 2) OVER p AS
 twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
 m AS (SELECT d.r, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  2 * len(regexp_extract_all(t, '{quality_rules.UNSPACED}')) > length(array_to_string(w, '')) AS unspaced,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM d JOIN w ON w.r = d.r LEFT JOIN rep ON rep.r = d.r),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),

@@ -14,6 +14,9 @@ _BLANK = r"[ \t-\r]+"
 RULES = (("symbols", 0.25, 0.10), ("dup_lines", 0.60, 0.45), ("word_length", 16.0, 12.0))
 #: A host is in bad standing if its shrunk failure rate is above this.
 BAD_RATE = 0.5
+#: Scripts written without spaces (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han),
+#: where a run between blanks is a clause and its length tells nothing.
+UNSPACED = r"[\x{0E00}-\x{109F}\x{1780}-\x{17FF}\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
 
 
 def _repeat_words(words: Column) -> Column:
@@ -28,8 +31,9 @@ def _repeat_words(words: Column) -> Column:
 
 def document_metrics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts of each document's whole text: n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_lines, and base_failed, next to doc_id, host
-    and the columns of ``keep``."""
+    n_dup_lines, n_repeat_words, n_lines, whether long words are mostly of an
+    unspaced script, and base_failed, next to doc_id, host and the columns of
+    ``keep``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), *keep, text.alias("_t"))
     split = read.select(
@@ -37,10 +41,14 @@ def document_metrics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.filter(F.split("_t", _BLANK), lambda w: w != "").alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \t-\r]")).alias("_l"),
     )
+    chars = F.length(F.array_join("_w", ""))
+    # Only texts of long words are searched for their script.
+    unspaced = F.when(chars > RULES[2][2] * F.size("_w"), F.length("_t") - F.length(F.regexp_replace("_t", UNSPACED, ""))).otherwise(0)
     counted = split.select(
         *[c for c in split.columns if c not in ("_t", "_w", "_l")],
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        chars.cast("long").alias("word_chars"),
+        (2 * unspaced > chars).alias("unspaced"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -57,7 +65,7 @@ def document_metrics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def _rates() -> dict[str, Column]:
     words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    return {"symbols": F.col("n_symbols") / words, "dup_lines": F.col("n_dup_lines") / lines, "word_length": F.col("word_chars") / words}
+    return {"symbols": F.col("n_symbols") / words, "dup_lines": F.col("n_dup_lines") / lines, "word_length": F.when(F.col("unspaced"), 0.0).otherwise(F.col("word_chars") / words)}
 
 
 def _fails(strict: bool) -> Column:
@@ -94,9 +102,10 @@ def judge_documents(spark: SparkSession, docs: DataFrame, keep: tuple[str, ...]
 
     A document is kept if it passes the base rules (50 words or more, at most
     half of its words in repeated 3-word windows) and the method's rules: share
-    of symbols, share of repeated lines and mean word length, at the strict
-    limits if its host's shrunk failure rate is above one half, else at the
-    normal ones. So a clean document of a bad host stays.
+    of symbols, share of repeated lines and mean word length (not where most
+    letters are of a script written without spaces), at the strict limits if its
+    host's shrunk failure rate is above one half, else at the normal ones. So a
+    clean document of a bad host stays.
 
     The metrics are one pass over whole texts, written as a narrow table; hosts
     are aggregated from it and joined back, by broadcast while the measured

@@ -175,3 +175,14 @@ def check_packing(rows, ids, window=4096):
             at += r.length
         assert at <= window
     return sum(map(len, ids.values())) / (window * len(seq)) if seq else 1.0
+
+
+def sql_on(docs, sql):
+    """Rows that SQL gives over documents of (doc_id, text, source) rows."""
+    import duckdb
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": [d for d, _, _ in docs], "text": [t for _, t, _ in docs], "source": [s for _, _, s in docs]})
+    con = duckdb.connect()
+    con.register("documents", table)
+    return con.sql(sql).to_arrow_table().to_pylist()

@@ -1,7 +1,6 @@
 """run() of the pipeline against its stages in plain Python and SQL."""
 
 import brute
-import duckdb
 import numpy as np
 import pytest
 
@@ -11,21 +10,12 @@ from quirelake.llm.oracles import ORACLE_SQL
 P = pytest.importorskip("public_tokenizers")
 
 
-def sql_on(docs, sql):
-    import pyarrow as pa
-
-    table = pa.table({"doc_id": [d for d, _, _ in docs], "text": [t for _, t, _ in docs], "source": [s for _, _, s in docs]})
-    con = duckdb.connect()
-    con.register("documents", table)
-    return con.sql(sql).to_arrow_table().to_pylist()
-
-
 def test_run_gives_what_plain_stages_give(spark):
     from tokenizers import Tokenizer
 
     sf_dir = "/root/testdata/sf0.01"  # in the smaller table no near duplicates are left after the lines
     docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    kept = {r["doc_id"] for r in sql_on(docs, ORACLE_SQL["op4_quality_rules"]) if r["kept"]}
+    kept = {r["doc_id"] for r in brute.sql_on(docs, ORACLE_SQL["op4_quality_rules"]) if r["kept"]}
     docs = [d for d in docs if d[0] in kept]
     cleaned = brute.line_dedup([(d, t) for d, t, _ in docs])
     docs = [(d, cleaned[d], s) for d, t, s in docs if cleaned[d] == t or brute.WORD.search(cleaned[d])]
@@ -34,7 +24,7 @@ def test_run_gives_what_plain_stages_give(spark):
     docs = [d for d in docs if component[d[0]] == d[0]]
     assert len(docs) < before
     spans = {}
-    for r in sql_on(docs, ORACLE_SQL["op5_secret_scan"]):
+    for r in brute.sql_on(docs, ORACLE_SQL["op5_secret_scan"]):
         spans[r["doc_id"]] = [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s]
     assert any(spans.values())
     words = Tokenizer.from_file(P.path("word_bpe_49k.json"))

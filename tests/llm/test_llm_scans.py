@@ -1,5 +1,6 @@
 """Quality rules, secret scans and licence scans against SQL and plain versions."""
 
+import random
 from collections import Counter
 
 import brute
@@ -42,6 +43,15 @@ def test_no_rows(spark, make_docs):
     assert judge_documents(spark, docs).count() == scan_secrets(spark, docs).count() == scan_licences(spark, docs).count() == redact_secrets(spark, docs).count() == 0
 
 
+def test_scripts_without_spaces_are_not_judged_by_their_runs(spark, make_docs):
+    rng = random.Random(4)
+    runs = lambda first, last, n: " ".join("".join(chr(rng.randrange(first, last)) for _ in range(n)) for _ in range(80))
+    rows = [(1, runs(0x4E00, 0x9FFF, 30), "a"), (2, runs(0xE01, 0xE2E, 30), "a"), (3, runs(0x61, 0x7B, 30), "a"), (4, runs(0x20000, 0x2A6D0, 30), "a"), (5, runs(0x61, 0x7B, 5) + " " + "字" * 50, "a")]
+    got = {r.doc_id: r.kept for r in judge_documents(spark, make_docs(rows)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True}
+    assert {r["doc_id"]: r["kept"] for r in brute.sql_on(rows, ORACLE_SQL["op4_quality_rules"])} == got
+
+
 def clean(i):
     return " ".join(f"plain{i}x{k} word{k} goes" for k in range(30))
 
