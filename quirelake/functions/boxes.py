@@ -182,3 +182,26 @@ def pixel_budget(width: Column, height: Column, least: int, most: int, step: int
     down, up = F.sqrt(frames * w0 * h0 / most), F.sqrt(F.lit(least) / (frames * w0 * h0))
     side = lambda v, r: F.when(frames * w * h > most, F.greatest(F.floor(v / down / step) * step, F.lit(step))).when(frames * w * h < least, F.ceil(v * up / step) * step).otherwise(r).cast("int")
     return side(w0, w), side(h0, h)
+
+
+def fixed_size(width: Column, height: Column, shape: tuple[int, ...]) -> tuple[Column, Column, Column, Column]:
+    """A given input shape, (height, width) or (channels, height, width), as
+    (width, height) and the ratios of a box's sides to them."""
+    if len(shape) not in (2, 3) or min(shape) < 1:
+        raise ValueError(f"an input shape is (height, width) or (channels, height, width), not {tuple(shape)}")
+    h, w = shape[-2:]
+    return F.lit(w), F.lit(h), w / width, h / height
+
+
+def nearest_grid(width: Column, height: Column, options: list[tuple[int, int]]) -> tuple[Column, Column]:
+    """(rows, columns) of the grid whose proportion is nearest, the first of equals."""
+    gaps = [F.struct(F.abs(F.lit(c / r) - width / height).alias("gap"), F.lit(i).alias("i"), F.lit(r).alias("r"), F.lit(c).alias("c")) for i, (r, c) in enumerate(options)]
+    best = F.array_min(F.array(*gaps))
+    return best["r"], best["c"]
+
+
+def capped_size(width: Column, height: Column, longest: int = 1540, step: int = 28) -> tuple[Column, Column]:
+    """Long side down to ``longest``, in whole pixels, then both up to multiples of ``step``."""
+    ratio = F.greatest(F.greatest(width, height) / longest, F.lit(1.0))
+    up = lambda v: ((F.floor((F.floor(v / ratio) - 1) / step) + 1) * step).cast("int")
+    return up(width), up(height)

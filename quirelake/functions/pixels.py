@@ -40,7 +40,7 @@ def _linear(x: np.ndarray) -> np.ndarray:
     return np.maximum(1 - x, 0)
 
 
-def _cubic(x: np.ndarray, a: float = -0.5) -> np.ndarray:
+def _cubic(x: np.ndarray, a: float) -> np.ndarray:
     near = ((a + 2) * x - (a + 3)) * x * x + 1
     far = ((a * x - 5 * a) * x + 8 * a) * x - 4 * a
     return np.where(x < 1, near, np.where(x < 2, far, 0.0))
@@ -57,7 +57,8 @@ def _areas(source: int, target: int) -> np.ndarray:
 def resize(image: np.ndarray, size: tuple[int, int], kind: str = "linear", antialias: bool = False) -> np.ndarray:
     """Separable resampling: linear, cubic, or area (means of what a pixel covers);
     with ``antialias`` a kernel widens as the image shrinks."""
-    kernels = {"linear": (_linear, 1.0), "cubic": (_cubic, 2.0)}
+    # The sharper cubic is that of fixed kernels, the other that of widened ones.
+    kernels = {"linear": (_linear, 1.0), "cubic": (lambda x: _cubic(x, -0.5 if antialias else -0.75), 2.0)}
     weights = _areas if kind == "area" else lambda source, target: _weights(source, target, kernels[kind][1], kernels[kind][0], antialias)
     w, h = size
     x = image.astype(float) if image.ndim == 3 else image[..., None].astype(float)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-from ..functions import pixels, probmap
+from ..functions import pixels, probmap, views
 from ..schema import DOCLING_LABELS, LAYOUT_LABELS
 from ..sources.dictionaries import model_path
 from .layout import suppress
@@ -250,7 +250,8 @@ class Published:
     """What is published of a generator: names, the prompt of each task it stands
     under, ids that end a text (none: a call's ``end``, 2 without one, as the
     model's own settings tell), most tokens, whether it takes one image at a
-    time, and the temperature. The first ids are the runtime's to give."""
+    time, the temperature, and the view of an image that its encoder takes (none:
+    the image). The first ids are the runtime's to give."""
 
     names: tuple[str, ...]
     prompts: dict[str, str]
@@ -258,28 +259,33 @@ class Published:
     most: int = MOST_TOKENS
     one_at_a_time: bool = False
     temperature: float = 0.0
+    view: Callable[[np.ndarray], object] | None = None
+
+
+def _clip(side: int) -> Callable:
+    return lambda x: views.square(x, side, views.CLIP_MEAN, views.CLIP_STD)
 
 
 # Fixed values of published generators.
 GENERATORS = (
-    Published(("PP-FormulaNet-L", "PP-FormulaNet_plus-L"), {"formula": ""}, (2,), 1537),
-    Published(("PP-FormulaNet-S", "PP-FormulaNet_plus-S", "PP-FormulaNet_plus-M"), {"formula": ""}, (2,)),
-    Published(("pix2text-mfr",), {"formula": ""}, most=513),
-    Published(("pix2text-mfr-1.5",), {"formula": ""}, most=1025),
-    Published(("TexTeller",), {"formula": ""}),
-    Published(("nougat-latex-base",), {"formula": ""}),
-    Published(("granite-docling-258M",), {"formula": "Convert formula to LaTeX."}, (100257,), 8192, one_at_a_time=True),
-    Published(("CodeFormulaV2",), {"formula": "<formula>"}, (100338,), 8192, one_at_a_time=True),
-    Published(("Dolphin", "Dolphin-1.5"), {"formula": "Read formula in the image.", "table": "Parse the table in the image."}, (2,), 4096),
-    Published(("unirec-0.1b",), {"formula": "", "table": ""}, (2,), 2048, one_at_a_time=True),
+    Published(("PP-FormulaNet-L", "PP-FormulaNet_plus-L"), {"formula": ""}, (2,), 1537, view=lambda x: views.formula_view(x, 768)),
+    Published(("PP-FormulaNet-S", "PP-FormulaNet_plus-S", "PP-FormulaNet_plus-M"), {"formula": ""}, (2,), view=lambda x: views.formula_view(x, 384)),
+    Published(("pix2text-mfr",), {"formula": ""}, most=513, view=lambda x: views.square(x, 384)),
+    Published(("pix2text-mfr-1.5",), {"formula": ""}, most=1025, view=lambda x: views.square(x, 384)),
+    Published(("TexTeller",), {"formula": ""}, view=views.gray_view),
+    Published(("nougat-latex-base",), {"formula": ""}, view=lambda x: views.framed_view(x, (560, 224))),
+    Published(("granite-docling-258M",), {"formula": "Convert formula to LaTeX."}, (100257,), 8192, one_at_a_time=True, view=views.tiled_view),
+    Published(("CodeFormulaV2",), {"formula": "<formula>"}, (100338,), 8192, one_at_a_time=True, view=views.tiled_view),
+    Published(("Dolphin", "Dolphin-1.5"), {"formula": "Read formula in the image.", "table": "Parse the table in the image."}, (2,), 4096, view=lambda x: views.framed_view(x, (896, 896), 255)),
+    Published(("unirec-0.1b",), {"formula": "", "table": ""}, (2,), 2048, one_at_a_time=True, view=views.fitted_view),
     Published(("Falcon-OCR", "Falcon-OCR-ONNX"), {"formula": "Extract the formula content from this image.", "table": "Extract the table content from this image."}, (11, 263)),
-    Published(("GOT-OCR-2.0",), {"formula": "OCR with format: "}, (151645,), 4096),
+    Published(("GOT-OCR-2.0",), {"formula": "OCR with format: "}, (151645,), 4096, view=_clip(1024)),
     Published(("LlamaJCpp-OCR",), {"formula": "Extract all text from the image."}, (), 2048, one_at_a_time=True, temperature=0.2),
-    Published(("GLM-OCR",), {"page_text": "OCR:"}, (59246,), one_at_a_time=True),
-    Published(("LightOnOCR-2-1B", "LightOnOCR-2-1B-ONNX"), {"page_text": ""}, (), 4096),
-    Published(("llava-onevision-qwen2-0.5b-ov-hf",), {"page_text": "OCR"}, (151645, 151643), 4096),
-    Published(("Qwen3-VL-2B-Instruct",), {"page_text": "Convert this formula image to LaTeX."}, (151645, 151643), 4096),
-    Published(("blip",), {"caption": ""}, (102,), 512),
+    Published(("GLM-OCR",), {"page_text": "OCR:"}, (59246,), one_at_a_time=True, view=views.budget_view),
+    Published(("LightOnOCR-2-1B", "LightOnOCR-2-1B-ONNX"), {"page_text": ""}, (), 4096, view=views.capped_view),
+    Published(("llava-onevision-qwen2-0.5b-ov-hf",), {"page_text": "OCR"}, (151645, 151643), 4096, view=lambda x: views.square(x, 384)),
+    Published(("Qwen3-VL-2B-Instruct",), {"page_text": "Convert this formula image to LaTeX."}, (151645, 151643), 4096, view=views.grid_view),
+    Published(("blip",), {"caption": ""}, (102,), 512, view=_clip(384)),
 )
 
 
@@ -290,13 +296,14 @@ def names_of(task: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Runtime:
-    """A generator's networks: ``encode(images, prompt)`` gives the first ids and
-    what the first step needs, ``step(new ids, kept)`` scores and what is kept
+    """A generator's networks: ``encode(views, prompt)`` gives the first ids and
+    what the first step needs (images, where the runtime prepares them itself), ``step(new ids, kept)`` scores and what is kept
     (see ``generate_cached``), ``decode(ids)`` the text of ids."""
 
     encode: Callable
     step: Callable
     decode: Callable[[list[int]], str]
+    prepares: bool = False
 
 
 def published_generator(runtime: Runtime, of: Published, task: str) -> Model:
@@ -307,6 +314,7 @@ def published_generator(runtime: Runtime, of: Published, task: str) -> Model:
     score = 1.0 if task == "caption" else -1.0
 
     def some(items: Sequence[np.ndarray], options: Options) -> list:
+        items = items if of.view is None or runtime.prepares else [of.view(x) for x in items]
         start, first = runtime.encode(items, options.get("prompt", of.prompts[task]))
         step = lambda new, kept: runtime.step(new, first if kept is None else kept)
         ends = of.ends or (int(options.number("end", 2)),)

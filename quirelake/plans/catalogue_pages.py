@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import boxes, decode, probmap, tensors, textnorm
+from ..functions import boxes, decode, probmap, tensors, textnorm, views
 from ..operators import evaluate, layout, route
 from ..operators.models import Options
 from ..sources.tables import result_json
@@ -43,6 +43,31 @@ def size_policies(spark, sf_dir):
     return d.select("page_id", "det_id", *(c.alias(f"{k}_{side}") for k, pair in by.items() for c, side in zip(pair, "wh", strict=True)))
 
 
+@query(
+    _det(
+        """, a AS (SELECT page_id, det_id, CAST((x2 - x1) * 9 AS DOUBLE) AS w, CAST((y2 - y1) * 11 AS DOUBLE) AS h FROM det),
+g AS (SELECT page_id, det_id, min([abs(c / r - w / h), i, r, c]) AS g FROM a, (VALUES (0.0::DOUBLE, 12.0::DOUBLE, 24.0::DOUBLE), (1, 16, 18), (2, 18, 16), (3, 24, 12)) AS t(i, r, c) GROUP BY ALL),
+b AS (SELECT *, greatest(greatest(w, h) / 1540, 1) AS over, CASE WHEN least(w, h) < 28 THEN greatest(28 / h, 28 / w) END AS grow FROM a),
+s AS (SELECT *, coalesce(floor(w * grow), w) AS w0, coalesce(floor(h * grow), h) AS h0 FROM b),
+n AS (SELECT *, floor(w0 / 28 + 0.5) * 28 AS nw, floor(h0 / 28 + 0.5) * 28 AS nh, sqrt(2 * w0 * h0 / 200000) AS down, sqrt(40000 / (2 * w0 * h0)) AS up FROM s)
+SELECT n.page_id, n.det_id, CAST(g[3] AS INTEGER) AS grid_rows, CAST(g[4] AS INTEGER) AS grid_cols,
+  CAST((floor((floor(w / over) - 1) / 28) + 1) * 28 AS INTEGER) AS capped_w, CAST((floor((floor(h / over) - 1) / 28) + 1) * 28 AS INTEGER) AS capped_h,
+  CAST(CASE WHEN 2 * nw * nh > 200000 THEN greatest(floor(w0 / down / 28) * 28, 28) WHEN 2 * nw * nh < 40000 THEN ceil(w0 * up / 28) * 28 ELSE nw END AS INTEGER) AS budget_w,
+  CAST(CASE WHEN 2 * nw * nh > 200000 THEN greatest(floor(h0 / down / 28) * 28, 28) WHEN 2 * nw * nh < 40000 THEN ceil(h0 * up / 28) * 28 ELSE nh END AS INTEGER) AS budget_h,
+  round(640 / w, 9) AS fixed_rw, round(480 / h, 9) AS fixed_rh
+FROM n JOIN g ON g.page_id = n.page_id AND g.det_id = n.det_id"""
+    )
+)
+def encoder_sizes(spark, sf_dir):
+    d = sample.det(spark, sf_dir)
+    w, h = ((d.x2 - d.x1) * 9).cast("double"), ((d.y2 - d.y1) * 11).cast("double")
+    rows, cols = boxes.nearest_grid(w, h, views.grids())
+    capped, budget = boxes.capped_size(w, h), boxes.pixel_budget(w, h, 40_000, 200_000)
+    fixed = [F.round(r, 9) for r in boxes.fixed_size(w, h, (3, 480, 640))[2:]]
+    names = ["grid_rows", "grid_cols", "capped_w", "capped_h", "budget_w", "budget_h", "fixed_rw", "fixed_rh"]
+    return d.select("page_id", "det_id", *(c.alias(n) for c, n in zip([rows, cols, *capped, *budget, *fixed], names, strict=True)))
+
+
 @query(
     _det(
         """, t AS (SELECT page_id, det_id, cls, CASE WHEN cls = 14 THEN row_number() OVER (PARTITION BY page_id, cls = 14 ORDER BY det_id) END AS n FROM det),

@@ -156,7 +156,7 @@ def test_generators_stand_under_their_names_and_tasks():
             seen.append((path, prompt, len(images)))
             return np.zeros((len(images), 2), int), {"n": 0, "after": [int(x.mean()) for x in images]}
 
-        return Runtime(encode, step, lambda ids: " " + ",".join(map(str, ids)) + " ")
+        return Runtime(encode, step, lambda ids: " " + ",".join(map(str, ids)) + " ", prepares=True)
 
     before = {task: dict(r._factories) for task, r in REGISTRIES.items()}
     try:

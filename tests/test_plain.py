@@ -49,6 +49,23 @@ def test_label_match(spark, sf_dir):
     assert got == matched(spark, sf_dir, gap, lambda s: s > -20, lambda s: -s) and len(got) > 500
 
 
+def test_quad_band_sort(spark, sf_dir):
+    pages, want = {}, set()
+    for r in sample.det(spark, sf_dir).select("page_id", "det_id", "x1", "y1").collect():
+        pages.setdefault(r.page_id, []).append((r.y1, r.x1, r.det_id))
+    for page, lines in pages.items():
+        placed = []
+        for y, x, k in sorted(lines):
+            ahead = 0
+            for b, a, _ in reversed(placed):
+                if abs(y - b) >= 10 or x >= a:
+                    break
+                ahead += 1
+            placed.insert(len(placed) - ahead, (y, x, k))
+        want |= {(page, k, i) for i, (_, _, k) in enumerate(placed)}
+    assert {tuple(r) for r in QUERIES["quad_band_sort"](spark, sf_dir).collect()} == want and len(want) > 5000
+
+
 def test_token_error_rate(spark, sf_dir):
     turns = sorted(((r.conv_id, r.turn, r.text) for r in sample.table(spark, sf_dir, "conversations").collect()))
     wrong = total = 0
