@@ -62,8 +62,8 @@ def resize(image: np.ndarray, size: tuple[int, int], kind: str = "linear", antia
     weights = _areas if kind == "area" else lambda source, target: _weights(source, target, kernels[kind][1], kernels[kind][0], antialias)
     w, h = size
     x = image.astype(float) if image.ndim == 3 else image[..., None].astype(float)
-    x = np.einsum("th,hwc->twc", weights(x.shape[0], h), x)
-    x = np.einsum("tw,hwc->htc", weights(x.shape[1], w), x)
+    x = (weights(x.shape[0], h) @ x.reshape(x.shape[0], -1)).reshape(h, *x.shape[1:])
+    x = weights(x.shape[1], w) @ x  # row by row
     x = x if image.ndim == 3 else x[..., 0]
     return np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else x.astype(image.dtype)
 
