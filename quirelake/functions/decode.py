@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,3 +114,19 @@ def open_depth(steps: DataFrame, keys: list[str], order: str, opens: Column, clo
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return steps.withColumn("depth", F.sum(opens.cast("long")).over(upto) - F.coalesce(F.sum(closes.cast("long")).over(before), F.lit(0).cast("long")))
+
+
+def spans_of_segments(bounds: np.ndarray, end: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sequence, segment, length and summed depth of every segment, of sequences
+    that lie end to end between ``bounds``: ``segment_ids`` and ``open_depth``
+    grouped by segment, with no row a position."""
+    first = np.zeros(len(end) + 1, bool)
+    first[1:] = end
+    first[bounds] = True
+    at = np.flatnonzero(first[:-1])
+    own = np.searchsorted(bounds, at, "right") - 1
+    ends, opened, closed = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (end, opens, closes))
+    starts = bounds[own]
+    n = np.diff(np.append(at, len(end)))
+    depth = np.add.reduceat(opened[1:] - closed[:-1], at) if len(at) else np.zeros(0, np.int64)
+    return own, ends[at] - ends[starts], n, depth - n * (opened[starts] - closed[starts])

@@ -7,8 +7,14 @@ tables hold no images.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import LAYOUT_LABELS
 
@@ -63,19 +69,7 @@ def labels_sql() -> str:
 
 
 STEP_CLASSES = 97
-
-
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a character of every text: doc_id, t (from 1), and a class that
-    repeats and blanks as a recogniser's do; ``prob`` in thousandths.
-
-    Three classes in four of a character's code are folded together, so runs and
-    blanks (class 0) are common.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
-    chars = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("t", "c"))
-    code = F.when(F.col("c") == " ", 0).otherwise(F.floor(F.ascii("c") / 4) % STEP_CLASSES).cast("int")
-    return chars.select("doc_id", (F.col("t") + 1).cast("long").alias("t"), code.alias("k"), ((F.ascii("c") * 31 + F.col("t") * 7) % 1000).cast("long").alias("prob_m"))
+_ARROW = {T.LongType(): pa.int64(), T.StringType(): pa.string()}
 
 
 def over_cores(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
@@ -86,13 +80,56 @@ def over_cores(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
 
 
 def step_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``steps`` as two arrays a document: doc_id, ``k`` and ``prob_m``."""
+    """Steps as two arrays a document: doc_id, ``k`` and ``prob_m``."""
     texts = over_cores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     chars = texts.select("doc_id", F.split("text", "").alias("c"))
     code = F.transform("c", lambda c: F.when(c == " ", 0).otherwise(F.shiftright(F.ascii(c), 2) % STEP_CLASSES))
     return chars.select("doc_id", code.alias("k"), F.transform("c", lambda c, t: ((F.ascii(c) * 31 + t * 7) % 1000).cast("long")).alias("prob_m"))
 
 
+#: Code points of texts whose steps are worked on at once.
+_AT_ONCE = 1 << 20
+
+
+def text_steps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of texts end to end: each code point, its class, and the bounds of the texts.
+
+    A step is a character, with a class that repeats and blanks as a recogniser's
+    do: three classes in four of a character's code are folded together, so runs
+    and blanks (class 0) are common.
+    """
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.int32)
+    k = code >> 2
+    k -= k // STEP_CLASSES * STEP_CLASSES
+    k[code == 32] = 0
+    return code, k, bounds
+
+
+def over_steps(spark: SparkSession, sf_dir: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, list]], adds: str) -> DataFrame:
+    """doc_id, and what ``work`` makes of the steps of many documents at once.
+
+    ``work`` takes what ``text_steps`` gives, and returns the place of each of its
+    rows' document and the columns ``adds``. No step is a row or a value of its
+    own, and nothing is shuffled; a null text has no steps.
+    """
+    docs = over_cores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(adds).fields])
+    kinds = [_ARROW[f.dataType] for f in schema.fields[1:]]
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own, columns = work(*text_steps([x or "" for x in texts.slice(a, b - a).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(own)), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names)
+
+    return docs.mapInArrow(run, schema)
+
+
 STEPS_SQL = f"""
 chars AS (SELECT doc_id, CAST(unnest(range(1, length(text) + 1)) AS BIGINT) AS t, text FROM documents),
 cut AS (SELECT doc_id, t, substr(text, t, 1) AS c FROM chars),
