@@ -130,3 +130,13 @@ def spans_of_segments(bounds: np.ndarray, end: np.ndarray, opens: np.ndarray, cl
     n = np.diff(np.append(at, len(end)))
     depth = np.add.reduceat(opened[1:] - closed[:-1], at) if len(at) else np.zeros(0, np.int64)
     return own, ends[at] - ends[starts], n, depth - n * (opened[starts] - closed[starts])
+
+
+def kept_steps(classes: np.ndarray, bounds: np.ndarray, blank: int = 0) -> np.ndarray:
+    """Places of the steps that count, as ``collapsed``, of sequences that lie end
+    to end between ``bounds``."""
+    keep = classes != blank
+    same = np.zeros(len(classes) + 1, bool)
+    same[1:-1] = classes[1:] == classes[:-1]
+    same[bounds] = False
+    return np.flatnonzero(keep & ~same[:-1])

@@ -106,6 +106,11 @@ def text_steps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, k, bounds
 
 
+def step_prob(code: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Probabilities, in thousandths, of code points at places from 0 in their texts."""
+    return (code.astype(np.int64) * 31 + t * 7) % 1000
+
+
 def over_steps(spark: SparkSession, sf_dir: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, list]], adds: str) -> DataFrame:
     """doc_id, and what ``work`` makes of the steps of many documents at once.
 

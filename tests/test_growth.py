@@ -33,3 +33,8 @@ def steps_stay_within(spark, sf_dir, monkeypatch, name):
 def test_doc_segments_of_odd_texts(spark, odd_texts, monkeypatch):
     # An empty text had a segment, and each character was a row.
     steps_stay_within(spark, odd_texts, monkeypatch, "doc_segments")
+
+
+def test_ctc_confidence_of_odd_texts(spark, odd_texts, monkeypatch):
+    # Each character went through interpreted functions of arrays.
+    steps_stay_within(spark, odd_texts, monkeypatch, "ctc_confidence")
