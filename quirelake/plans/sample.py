@@ -79,14 +79,6 @@ def over_cores(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
-def step_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps as two arrays a document: doc_id, ``k`` and ``prob_m``."""
-    texts = over_cores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    chars = texts.select("doc_id", F.split("text", "").alias("c"))
-    code = F.transform("c", lambda c: F.when(c == " ", 0).otherwise(F.shiftright(F.ascii(c), 2) % STEP_CLASSES))
-    return chars.select("doc_id", code.alias("k"), F.transform("c", lambda c, t: ((F.ascii(c) * 31 + t * 7) % 1000).cast("long")).alias("prob_m"))
-
-
 #: Code points of texts whose steps are worked on at once.
 _AT_ONCE = 1 << 20
 

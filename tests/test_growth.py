@@ -38,3 +38,7 @@ def test_doc_segments_of_odd_texts(spark, odd_texts, monkeypatch):
 def test_ctc_confidence_of_odd_texts(spark, odd_texts, monkeypatch):
     # Each character went through interpreted functions of arrays.
     steps_stay_within(spark, odd_texts, monkeypatch, "ctc_confidence")
+
+
+def test_ctc_collapse_of_odd_texts(spark, odd_texts, monkeypatch):
+    steps_stay_within(spark, odd_texts, monkeypatch, "ctc_collapse")
