@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions.boxes import Box
-from .grouped import over_groups
+from .grouped import over_many_groups, padded
 
 
 def score_filter(det: DataFrame, threshold: float | int, score: str = "score", inclusive: bool = False) -> DataFrame:
@@ -52,20 +52,30 @@ def candidate_pairs(det: DataFrame, page: str = "page_id", det_id: str = "det_id
     return a.join(b, test).select(F.col(f"a.{page}").alias(page), F.col(f"a.{det_id}").alias("a_id"), F.col(f"b.{det_id}").alias("b_id"), boxes.iou(x, y).alias("iou"))
 
 
-def suppressed(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, cls: np.ndarray, same: float, other: float) -> np.ndarray:
+def suppressed(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, cls: np.ndarray, same: float, other: float, bounds: np.ndarray | None = None) -> np.ndarray:
     """Which boxes stay, best first: one goes if it overlaps a kept one before it
-    by ``same`` in its class or by ``other`` in another."""
-    size = (x2 - x1) * (y2 - y1)
-    live = np.ones(len(x1), bool)
-    for i in range(len(x1) - 1):
-        if live[i]:
-            w = np.minimum(x2[i], x2[i + 1 :]) - np.maximum(x1[i], x1[i + 1 :])
-            h = np.minimum(y2[i], y2[i + 1 :]) - np.maximum(y1[i], y1[i + 1 :])
-            common = np.maximum(w, 0) * np.maximum(h, 0)
-            union = size[i] + size[i + 1 :] - common
-            ratio = np.divide(common, union, out=np.zeros(len(common)), where=union > 0)
-            live[i + 1 :] &= ratio < np.where(cls[i + 1 :] == cls[i], same, other)
-    return live
+    by ``same`` in its class or by ``other`` in another.
+
+    With ``bounds``, the boxes of many pages lie end to end between them; each
+    step takes one box of all pages of like size.
+    """
+    bounds = np.array([0, len(x1)]) if bounds is None else bounds
+    sizes, stays = np.diff(bounds), np.zeros(len(x1), bool)
+    for pages, n in padded(sizes):
+        real = np.arange(n)[:, None] < sizes[pages]
+        at = np.where(real, bounds[pages] + np.arange(n)[:, None], bounds[pages])
+        a, b, c, d = (np.where(real, v[at], 0.0) for v in (x1, y1, x2, y2))
+        kind, size, live = cls[at], (c - a) * (d - b), real
+        for i in range(n - 1):
+            if live[i].any():
+                w = np.minimum(c[i], c[i + 1 :]) - np.maximum(a[i], a[i + 1 :])
+                h = np.minimum(d[i], d[i + 1 :]) - np.maximum(b[i], b[i + 1 :])
+                common = np.maximum(w, 0) * np.maximum(h, 0)
+                union = size[i] + size[i + 1 :] - common
+                ratio = np.divide(common, union, out=np.zeros(common.shape), where=union > 0)
+                live[i + 1 :] &= (ratio < np.where(kind[i + 1 :] == kind[i], same, other)) | ~live[i]
+        stays[at[live]] = True
+    return stays
 
 
 def suppress(frame: pd.DataFrame, same: float, other: float) -> pd.DataFrame:
@@ -79,11 +89,11 @@ def non_maximum_suppression(det: DataFrame, same: float = 0.6, other: float = 0.
     """``suppressed`` over every page. Which boxes stay depends on which stayed
     before, so a page is one group; pages hold hundreds of boxes at most."""
 
-    def stay(c: dict[str, np.ndarray]) -> tuple:
+    def stay(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple:
         box = [c[n].astype(np.float64) for n in ("x1", "y1", "x2", "y2")]
-        return np.flatnonzero(suppressed(*box, c["cls"], same, other)), ()
+        return np.flatnonzero(suppressed(*box, c["cls"], same, other, bounds)), ()
 
-    return over_groups(det, page, ["det_id"], ["x1", "y1", "x2", "y2", "cls"], stay, det.columns)
+    return over_many_groups(det, page, ["det_id"], ["x1", "y1", "x2", "y2", "cls"], stay, det.columns)
 
 
 def top_queries(df: DataFrame, key: str, scores: str, n: int, classes: int) -> DataFrame:

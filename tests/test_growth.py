@@ -42,3 +42,51 @@ def test_ctc_confidence_of_odd_texts(spark, odd_texts, monkeypatch):
 
 def test_ctc_collapse_of_odd_texts(spark, odd_texts, monkeypatch):
     steps_stay_within(spark, odd_texts, monkeypatch, "ctc_collapse")
+
+
+def plain_suppressed(boxes, same, other):
+    """Boxes (x1, y1, x2, y2, class) that stay, by a plain loop."""
+    kept = []
+    for i, (a, b, c, d, k) in enumerate(boxes):
+        for j in kept:
+            e, f, g, h, m = boxes[j]
+            common = max(min(c, g) - max(a, e), 0) * max(min(d, h) - max(b, f), 0)
+            union = (c - a) * (d - b) + (g - e) * (h - f) - common
+            if union > 0 and common / union >= (same if k == m else other):
+                break
+        else:
+            kept.append(i)
+    return kept
+
+
+def pages_of_boxes(spark, rng, sizes, span=30):
+    """Detections of pages of given sizes, whole corners on a small field."""
+    rows = []
+    for page, n in enumerate(sizes):
+        x, y, w, h = rng.integers(0, span, (4, n))
+        rows += [(page, i, int(rng.integers(0, 2)), *map(float, (x[i], y[i], x[i] + w[i], y[i] + h[i]))) for i in range(n)]
+    order = rng.permutation(len(rows))
+    return rows, spark.createDataFrame([rows[i] for i in order], "page_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double")
+
+
+SIZES = [1, 2, 3, 70, 9, 40, 1, 33, 34, 700, 5, 2, 31]
+
+
+def test_pages_are_suppressed_together(spark, monkeypatch):
+    from quirelake.operators import grouped, layout
+
+    rows, det = pages_of_boxes(spark, np.random.default_rng(5), SIZES)
+    want = {(p, i) for p in range(len(SIZES)) for i in plain_suppressed([r[3:] + (r[2],) for r in rows if r[0] == p], 0.5, 0.9)}
+    columns = [np.array([r[k] for r in rows], float) for k in (3, 4, 5, 6)]
+    bounds = np.concatenate([[0], np.cumsum(SIZES)])
+    for cells in (1, 50, 1 << 15):
+        monkeypatch.setattr(grouped, "_CELLS", cells)
+        stays = layout.suppressed(*columns, np.array([r[2] for r in rows]), 0.5, 0.9, bounds)
+        assert {rows[i][:2] for i in np.flatnonzero(stays)} == want
+    got = layout.non_maximum_suppression(det, 0.5, 0.9)
+    assert {(r.page_id, r.det_id) for r in got.collect()} == want and got.columns == det.columns
+
+
+def test_nms_deals_its_pages_out_once(spark, sf_dir):
+    # They were dealt out to be numbered, and once more to be worked on.
+    assert QUERIES["nms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
