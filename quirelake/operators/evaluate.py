@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .grouped import over_groups
+from .grouped import over_many_groups, padded
 
 
 def edit_distances(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
@@ -62,13 +62,13 @@ def token_error_rate(pairs: DataFrame, reference: Column, hypothesis: Column) ->
     return d.agg(F.sum("d").alias("distance"), F.sum("n").alias("n_tokens"), (F.sum("d") / F.sum("n")).alias("error_rate"))
 
 
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of one box with many."""
-    w = np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0])
-    h = np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1])
+def _ratio(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """IoU of boxes whose sides are arrays."""
+    w = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])
+    h = np.minimum(a[3], b[3]) - np.maximum(a[1], b[1])
     common = np.maximum(w, 0) * np.maximum(h, 0)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - common
-    return np.divide(common, union, out=np.zeros(len(b)), where=union > 0)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - common
+    return np.divide(common, union, out=np.zeros(common.shape), where=union > 0)
 
 
 _BOX = ["x1", "y1", "x2", "y2"]
@@ -78,28 +78,35 @@ def _matched(left: DataFrame, right: DataFrame, score: Callable, accept: Callabl
     """page_id, left_id, right_id, score: each left box of a page in turn takes the
     free right box of the best score, if that is accepted.
 
-    ``score`` has a left box, its class and the right boxes and classes.
+    ``score`` has a left box of each page with its class, as columns, and the
+    pages' right boxes with theirs, a page a row; boxes are lists of their sides.
     """
     sides = [df.select("page_id", "det_id", "cls", *(F.col(c).cast("double").alias(c) for c in _BOX), F.lit(n).alias("side")) for n, df in enumerate((left, right))]
 
-    def match(c: dict[str, np.ndarray]) -> tuple:
-        n = int((c["side"] == 0).sum())
-        boxes, cls = np.stack([c[x] for x in _BOX], axis=1), c["cls"]
-        free, rows, partners, scores = np.ones(len(cls) - n, bool), [], [], []
-        for i in range(n):
-            if not free.any():
-                break
-            s = np.where(free, score(boxes[i], cls[i], boxes[n:], cls[n:]), -np.inf)
-            j = int(np.argmax(s))
-            if accept(s[j]):
-                free[j] = False
-                rows.append(i)
-                partners.append(c["det_id"][n + j])
-                scores.append(abs(s[j]))
-        return np.array(rows, np.int64), (np.array(partners, np.int64), np.array(scores, np.float64))
+    def match(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple:
+        lefts = np.add.reduceat(c["side"] == 0, bounds[:-1], dtype=np.int64)
+        rights = np.where(lefts > 0, np.diff(bounds) - lefts, 0)
+        boxes, cls = [c[x] for x in _BOX], c["cls"]
+        rows, partners, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for pages, n in padded(rights):
+            free = np.arange(n) < rights[pages, None]
+            at = np.where(free, (bounds[pages] + lefts[pages])[:, None] + np.arange(n), bounds[pages, None])
+            others, kinds, each = [v[at] for v in boxes], cls[at], np.arange(len(pages))
+            for i in range(lefts[pages].max()):
+                has = i < lefts[pages]
+                one = np.where(has, bounds[pages] + i, bounds[pages])
+                s = np.where(free, score([v[one, None] for v in boxes], cls[one, None], others, kinds), -np.inf)
+                j = s.argmax(axis=1)
+                best = s[each, j]
+                got = has & accept(best)
+                free[each[got], j[got]] = False
+                rows.append(one[got])
+                partners.append(at[each[got], j[got]])
+                scores.append(np.abs(best[got]))
+        return np.concatenate(rows), (c["det_id"][np.concatenate(partners)], np.concatenate(scores))
 
     added = [T.StructField("right_id", T.LongType()), T.StructField("score", T.DoubleType())]
-    both = over_groups(sides[0].unionByName(sides[1]), "page_id", ["side", "det_id"], ["side", "det_id", "cls", *_BOX], match, ["page_id", "det_id"], added)
+    both = over_many_groups(sides[0].unionByName(sides[1]), "page_id", ["side", "det_id"], ["side", "det_id", "cls", *_BOX], match, ["page_id", "det_id"], added)
     return both.withColumnRenamed("det_id", "left_id")
 
 
@@ -112,7 +119,7 @@ def match_by_overlap(left: DataFrame, right: DataFrame, least: float = 0.5) -> D
 def match_by_label(left: DataFrame, right: DataFrame, tolerance: float = 5) -> DataFrame:
     """One-to-one matches of a page's boxes of one class: the free box of the
     least summed difference of sides, if that is below four tolerances."""
-    gap = lambda box, cls, boxes, classes: np.where(classes == cls, -np.abs(boxes - box).sum(axis=1), -np.inf)
+    gap = lambda box, cls, boxes, classes: np.where(classes == cls, -sum(np.abs(b - a) for a, b in zip(box, boxes, strict=True)), -np.inf)
     return _matched(left, right, gap, lambda s: s > -4 * tolerance)
 
 

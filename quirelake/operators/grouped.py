@@ -27,7 +27,7 @@ ManyWork = Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, tuple
 _ARROW = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32()}
 
 #: Cells of a padded block: few enough for its arrays to stay in a core's cache.
-_CELLS = 1 << 15
+CELLS = 1 << 15
 
 
 def padded(sizes: np.ndarray, cells: Callable[[int], int] = lambda n: n) -> Iterator[tuple[np.ndarray, int]]:
@@ -39,7 +39,7 @@ def padded(sizes: np.ndarray, cells: Callable[[int], int] = lambda n: n) -> Iter
     order = np.argsort(sizes, kind="stable")
     own, end = sizes[order], len(order)
     while end and (most := int(own[end - 1])):
-        start = max(end - max(_CELLS // cells(most), 1), int(np.searchsorted(own, (most + 1) // 2)))
+        start = max(end - max(CELLS // cells(most), 1), int(np.searchsorted(own, (most + 1) // 2)))
         yield order[start:end], most
         end = start
 

@@ -80,7 +80,7 @@ def test_pages_are_suppressed_together(spark, monkeypatch):
     columns = [np.array([r[k] for r in rows], float) for k in (3, 4, 5, 6)]
     bounds = np.concatenate([[0], np.cumsum(SIZES)])
     for cells in (1, 50, 1 << 15):
-        monkeypatch.setattr(grouped, "_CELLS", cells)
+        monkeypatch.setattr(grouped, "CELLS", cells)
         stays = layout.suppressed(*columns, np.array([r[2] for r in rows]), 0.5, 0.9, bounds)
         assert {rows[i][:2] for i in np.flatnonzero(stays)} == want
     got = layout.non_maximum_suppression(det, 0.5, 0.9)
@@ -90,3 +90,29 @@ def test_pages_are_suppressed_together(spark, monkeypatch):
 def test_nms_deals_its_pages_out_once(spark, sf_dir):
     # They were dealt out to be numbered, and once more to be worked on.
     assert QUERIES["nms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_pages_are_matched_together(spark):
+    from quirelake.operators import evaluate
+
+    rng = np.random.default_rng(7)
+    rows, det = pages_of_boxes(spark, rng, SIZES, 12)
+    left, right = det.where("det_id % 3 = 0 and page_id <> 4"), det.where("det_id % 3 <> 0 and page_id <> 5")
+    iou = lambda a, b: (c := max(min(a[5], b[5]) - max(a[3], b[3]), 0) * max(min(a[6], b[6]) - max(a[4], b[4]), 0)) / (u if (u := (a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - c) > 0 else 1)
+    for match, score, least in ((evaluate.match_by_overlap, iou, 0.5),):
+        want = set()
+        for p in set(range(len(SIZES))) - {4, 5}:
+            free = [r for r in rows if r[0] == p and r[1] % 3]
+            for a in (r for r in rows if r[0] == p and r[1] % 3 == 0):
+                best = max(free, key=lambda b: score(a, b), default=None)
+                if best is not None and score(a, best) > least:
+                    free.remove(best)
+                    want.add((p, a[1], best[1], round(float(abs(score(a, best))), 9)))
+        got = [(r.page_id, r.left_id, r.right_id, round(r.score, 9)) for r in match(left, right).collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+
+
+@pytest.mark.parametrize("name", ["greedy_match"])
+def test_boxes_are_numbered_once_for_each_side(spark, sf_dir, name):
+    # The right side was numbered twice, as a union.
+    assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition(page_id#") == 3
