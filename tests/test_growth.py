@@ -99,7 +99,8 @@ def test_pages_are_matched_together(spark):
     rows, det = pages_of_boxes(spark, rng, SIZES, 12)
     left, right = det.where("det_id % 3 = 0 and page_id <> 4"), det.where("det_id % 3 <> 0 and page_id <> 5")
     iou = lambda a, b: (c := max(min(a[5], b[5]) - max(a[3], b[3]), 0) * max(min(a[6], b[6]) - max(a[4], b[4]), 0)) / (u if (u := (a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - c) > 0 else 1)
-    for match, score, least in ((evaluate.match_by_overlap, iou, 0.5),):
+    gap = lambda a, b: -sum(abs(x - y) for x, y in zip(a[3:], b[3:], strict=True)) if a[2] == b[2] else -np.inf
+    for match, score, least in ((evaluate.match_by_overlap, iou, 0.5), (evaluate.match_by_label, gap, -20)):
         want = set()
         for p in set(range(len(SIZES))) - {4, 5}:
             free = [r for r in rows if r[0] == p and r[1] % 3]
@@ -112,7 +113,7 @@ def test_pages_are_matched_together(spark):
         assert set(got) == want and len(got) == len(want) > 100
 
 
-@pytest.mark.parametrize("name", ["greedy_match"])
+@pytest.mark.parametrize("name", ["greedy_match", "label_match"])
 def test_boxes_are_numbered_once_for_each_side(spark, sf_dir, name):
     # The right side was numbered twice, as a union.
     assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition(page_id#") == 3
