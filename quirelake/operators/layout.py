@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import boxes
 from ..functions.boxes import Box
-from .grouped import over_many_groups, padded
+from .grouped import CELLS, over_many_groups, padded
 
 
 def score_filter(det: DataFrame, threshold: float | int, score: str = "score", inclusive: bool = False) -> DataFrame:
@@ -107,22 +108,50 @@ def top_queries(df: DataFrame, key: str, scores: str, n: int, classes: int) -> D
     return best.select(key, (F.col("rank") + 1).alias("rank"), F.floor(flat / classes).cast("int").alias("query"), F.pmod(flat, F.lit(classes)).alias("cls"), F.col("_b.score").alias("score"))
 
 
-def reading_order(det: DataFrame, before: Callable[[Column, Column], Column], columns: list[str], page: str = "page_id", det_id: str = "det_id") -> DataFrame:
+#: Scores of boxes standing before others, from their columns as arrays that broadcast.
+Before = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
+
+
+def pair_votes(columns: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, before: Before) -> np.ndarray:
+    """Votes of boxes whose pages lie end to end between ``bounds``, by id in each.
+
+    Pairs are taken a strip of a page at a time, so that memory doesn't grow with
+    the square of a page. A pair without a score counts for neither.
+    """
+    sizes, votes = np.diff(bounds), np.zeros(len(ids))
+    for pages, n in padded(sizes, lambda m: m * m):
+        real = np.arange(n) < sizes[pages, None]
+        at = np.where(real, bounds[pages, None] + np.arange(n), bounds[pages, None])
+        after = {c: v[at][:, None, :] for c, v in columns.items()}
+        strip = max(CELLS // n, 1) if len(pages) == 1 else n
+        for a in range(0, n, strip):
+            ahead = at[:, a : a + strip, None]
+            score = before({c: v[ahead] for c, v in columns.items()}, after)
+            counts = real[:, a : a + strip, None] & real[:, None, :] & (ids[ahead] < ids[at][:, None, :]) & (score == score)
+            score = np.where(counts, score, 0)
+            votes[at[real]] += score.sum(axis=1)[real]
+            own = real[:, a : a + strip]
+            votes[ahead[..., 0][own]] += (counts.sum(axis=2) - score.sum(axis=2))[own]
+    return votes
+
+
+def reading_order(det: DataFrame, before: Before, columns: list[str], page: str = "page_id", det_id: str = "det_id") -> DataFrame:
     """Rank of each box by pairwise votes: det's page, id, votes and read_rank.
 
     ``before`` gives the score of box a standing before box b, for a ahead of b
     by id, from their ``columns``. A box gathers the scores of all pairs that put
-    others ahead of it; the rank is by votes upwards, ties by id. A page's boxes
-    are one array, and pairs are taken within it: one shuffle, and no pair is a row.
+    others ahead of it; the rank is by votes upwards, ties by id. Pairs of many
+    pages are taken at once, and no pair is a row.
     """
-    boxes = det.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(det_id, *columns))).alias("_b"))
 
-    def votes(x):
-        each = F.transform("_b", lambda y: F.when(y[det_id] < x[det_id], before(y, x)).when(y[det_id] > x[det_id], 1 - before(x, y)).otherwise(0))
-        return F.aggregate(each, F.lit(0).cast("double"), lambda total, v: total + v.cast("double"))
+    def rank(c: dict[str, np.ndarray], bounds: np.ndarray) -> tuple:
+        votes = pair_votes({n: c[n] for n in columns}, c[det_id], bounds, before)
+        pages = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.lexsort((c[det_id], votes, pages))
+        return order, (votes[order], (np.arange(len(order)) - bounds[pages]).astype(np.int32))
 
-    counted = boxes.select(page, F.array_sort(F.transform("_b", lambda x: F.struct(votes(x).alias("votes"), x[det_id].alias(det_id)))).alias("_v"))
-    return counted.select(page, F.posexplode("_v").alias("read_rank", "_x")).select(page, F.col(f"_x.{det_id}").alias(det_id), F.col("_x.votes").alias("votes"), "read_rank")
+    adds = [T.StructField("votes", T.DoubleType()), T.StructField("read_rank", T.IntegerType())]
+    return over_many_groups(det, page, [det_id], [det_id, *columns], rank, [page, det_id], adds)
 
 
 def lexical_order(det: DataFrame, first: str, second: str, tie: str, page: str = "page_id") -> DataFrame:

@@ -117,3 +117,23 @@ def test_pages_are_matched_together(spark):
 def test_boxes_are_numbered_once_for_each_side(spark, sf_dir, name):
     # The right side was numbered twice, as a union.
     assert QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("row_number() windowspecdefinition(page_id#") == 3
+
+
+def test_pages_are_voted_together(spark):
+    from quirelake.operators import layout
+
+    rows, det = pages_of_boxes(spark, np.random.default_rng(9), SIZES)
+    det = det.selectExpr("page_id", "det_id", "if(det_id = 2, null, cast(x1 as int)) as v")
+    want = set()
+    for p, n in enumerate(SIZES):
+        v, votes = [int(r[3]) for r in rows if r[0] == p], [0] * n
+        for a in range(n):
+            for b in range(a + 1, n):
+                if a != 2 and b != 2:
+                    s = (v[a] * 7 + v[b] * 3) % 101
+                    votes[b] += s
+                    votes[a] += 1 - s
+        want |= {(p, i, votes[i], rank) for rank, i in enumerate(sorted(range(n), key=lambda i: (votes[i], i)))}
+    got = layout.reading_order(det, lambda a, b: np.fmod(a["v"] * 7 + b["v"] * 3, 101), ["v"])
+    assert {tuple(r) for r in got.collect()} == want and got.columns == ["page_id", "det_id", "votes", "read_rank"]
+    assert "lambdafunction" not in got._jdf.queryExecution().executedPlan().toString()
