@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,7 +154,20 @@ def normalize_latex_text(text: str) -> str:
         text = now
 
 
-@F.pandas_udf(T.StringType())
-def normalize_latex(x: pd.Series) -> pd.Series:
+#: Bytes of text that are Python strings at once, unless one text has more.
+_AT_ONCE = 1 << 20
+
+
+def in_slices(work: Callable[[str], str], texts: pa.Array) -> pa.Array:
+    """``work`` over texts, a slice of an Arrow batch at a time, so that few of them
+    are Python strings at once; null stays."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    done = [pa.array([None if t is None else work(t) for t in texts.slice(a, b - a).to_pylist()], pa.string()) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.concat_arrays(done)
+
+
+@F.arrow_udf(T.StringType())
+def normalize_latex(x: pa.Array) -> pa.Array:
     """``normalize_latex_text`` over a column; it runs to a fixed point, which no built-in does."""
-    return x.map(lambda t: None if t is None else normalize_latex_text(t))
+    return in_slices(normalize_latex_text, x)

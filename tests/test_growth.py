@@ -137,3 +137,19 @@ def test_pages_are_voted_together(spark):
     got = layout.reading_order(det, lambda a, b: np.fmod(a["v"] * 7 + b["v"] * 3, 101), ["v"])
     assert {tuple(r) for r in got.collect()} == want and got.columns == ["page_id", "det_id", "votes", "read_rank"]
     assert "lambdafunction" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_texts_are_python_strings_at_once():
+    import tracemalloc
+
+    from quirelake.functions import textnorm
+
+    texts = ["a + b " * 100 + str(i) if i % 7 else None for i in range(40_000)]
+    column = pa.array(texts)
+    tracemalloc.start()
+    out = textnorm.in_slices(lambda t: t[::-1], column)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert out.to_pylist() == [t and t[::-1] for t in texts] and most < 8 << 20
+    assert textnorm.in_slices(str, pa.array([], pa.string())).to_pylist() == []
+    assert textnorm.in_slices(str, pa.array(["x" * (3 << 20), "", None, "y"])).to_pylist() == ["x" * (3 << 20), "", None, "y"]
