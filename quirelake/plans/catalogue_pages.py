@@ -282,7 +282,9 @@ def page_reading(spark, sf_dir):
 
     def paint(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(path="blank", height=np.int32(30), width=np.int32(40), data=[bytes([i % 251]) * 3600 for i in f["page_id"]])
+            for a in range(0, len(f), 512):
+                part = f.iloc[a : a + 512]
+                yield part.assign(path="blank", height=np.int32(30), width=np.int32(40), data=[bytes([i % 251]) * 3600 for i in part["page_id"]])
 
     pages = sample.table(spark, sf_dir, "pages").select("page_id").mapInPandas(paint, "page_id long, path string, height int, width int, data binary")
     models = Models(detection=Stage(_two_lines, batch=8), recognition=Stage(_brightness, "a", batch=32), layout=Stage(_blank_layout, batch=8), formula=Stage(_formula, batch=8), table=Stage(_table, batch=8))

@@ -105,11 +105,28 @@ def _columns(ddl: str) -> list[str]:
     return [part.split()[0] for part in ddl.split(", ")]
 
 
+#: What a stage works on at once: so many rows, and so many bytes of pixels
+#: unless one image alone has more.
+_ROWS, _BYTES = 512, 16 << 20
+
+
+def pieces(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """An Arrow batch's rows in order, few enough at a time that a stage's images,
+    crops and records don't grow with the batch."""
+    a, held = 0, 0
+    for i, n in enumerate(map(len, f["data"])):
+        if i > a and (i - a == _ROWS or held + n > _BYTES):
+            yield f.iloc[a:i].reset_index(drop=True)
+            a, held = i, 0
+        held += n
+    if len(f):
+        yield f.iloc[a:].reset_index(drop=True)
+
+
 def _flow(stage: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if len(f):
-                yield stage(f)
+            yield from map(stage, pieces(f))
 
     return run
 

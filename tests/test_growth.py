@@ -153,3 +153,20 @@ def test_few_texts_are_python_strings_at_once():
     assert out.to_pylist() == [t and t[::-1] for t in texts] and most < 8 << 20
     assert textnorm.in_slices(str, pa.array([], pa.string())).to_pylist() == []
     assert textnorm.in_slices(str, pa.array(["x" * (3 << 20), "", None, "y"])).to_pylist() == ["x" * (3 << 20), "", None, "y"]
+
+
+def test_stages_work_on_pieces_of_a_batch(monkeypatch):
+    import pandas as pd
+
+    from quirelake.plans import pipeline
+
+    f = pd.DataFrame({"page_id": range(3000), "data": [bytes(i % 5 * 1000) for i in range(3000)]})
+    seen = []
+    whole = pd.concat(pipeline._flow(lambda x: seen.append((len(x), sum(map(len, x["data"])))) or x)([f.iloc[:0], f]))
+    assert whole["page_id"].tolist() == list(range(3000)) and max(n for n, _ in seen) == 512
+    monkeypatch.setattr(pipeline, "_BYTES", 6000)
+    seen.clear()
+    whole = pd.concat(pipeline._flow(lambda x: seen.append((len(x), sum(map(len, x["data"])))) or x)([f]))
+    assert whole["page_id"].tolist() == list(range(3000)) and max(b for _, b in seen) <= 6000
+    monkeypatch.setattr(pipeline, "_BYTES", 10)
+    assert [len(x) for x in pipeline.pieces(pd.DataFrame({"data": [b"a" * 50, b"", b"b" * 11]}))] == [1, 1, 1]
